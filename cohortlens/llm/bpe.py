@@ -166,12 +166,13 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", paths:
     return _mapped(df, [ids_col], [(out_col, T.BinaryType())], lambda ids: [[load(*paths).decode(i or b"") for i in ids]])
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256 and decoded_sha256 of the round trip."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256 of the round trip, and with keep_ids the ids."""
     both = decode(encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).drop("text"))
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if keep_ids else []),
     )
