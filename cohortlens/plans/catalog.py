@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import core
+
+QUERIES: dict = dict(core.QUERIES)
+ORACLES: dict = dict(core.ORACLES)
