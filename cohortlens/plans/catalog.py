@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core, texts  # noqa: F401  texts adds to core's registry
+from . import core, files, texts  # noqa: F401  files and texts add to core's registry
 
 QUERIES: dict = dict(core.QUERIES)
 ORACLES: dict = dict(core.ORACLES)
