@@ -58,8 +58,7 @@ class Page(HTMLParser):
             if t:
                 top = self.stack[-1]
                 top.content.append(t)
-                if not top.skip:
-                    self.pieces.append([t, top.main, []])
+                self.pieces.append([t, top.main, []])
 
     def _pop(self):
         top = self.stack[-1]
@@ -93,7 +92,7 @@ class Page(HTMLParser):
         if tag in SIBLINGS:
             names, stops = SIBLINGS[tag]
             self._close(tuple(names.split()), stops)
-        if tag in BLOCK or tag in NEVER:
+        if tag in BLOCK:
             self._flush()
         if tag in VOID:
             return
@@ -127,7 +126,12 @@ class Page(HTMLParser):
         self._close((tag,), () if tag in ("body", "html") else ("article", "body") if tag not in ("article", "main", "div", "section") else ("body",))
 
     def handle_data(self, data):
-        self.text.append(data)
+        top = self.stack[-1]
+        if top.skip:  # counts for the subtree's hash, and leaves the block around it whole
+            if t := " ".join(data.split()):
+                top.content.append(t)
+        else:
+            self.text.append(data)
 
     def unknown_decl(self, data):
         pass
