@@ -6,14 +6,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import _powers, chunks_of, mix64, ship, stage
 
 GRAM = 64  # q: bytes of the initial buckets
-HOT = 4096  # contexts in a bucket beyond which its windows are counted as rows
-PIECE = 8_000_000  # bytes of one text that are worked on at a time
+HOT = 2048  # contexts in a bucket beyond which its windows are counted as rows
+ROUND = 700_000  # bytes of whole buckets that are refined together
+PIECE = 2_000_000  # bytes of one text that are worked on at a time
 _LOW = np.uint64((1 << 24) - 1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,7 +109,7 @@ def _sampled(texts: DataFrame, length: int, rows: bool) -> DataFrame:
         for b in batches:
             held = b.column("text").to_pylist()
             ids, us = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "u"))
-            for i, j in chunks_of(held, 3_000_000):
+            for i, j in chunks_of(held, 1_500_000):
                 parts = list(_pieces([(t or "").encode() for t in held[i:j]], length))
                 group, size = [], 0
                 for p in [*parts, None]:
@@ -185,11 +187,13 @@ def _refined(contexts: DataFrame, length: int) -> DataFrame:
             if rest is not None and rest.num_rows:
                 t = pa.concat_tables([rest, t])
             h = t.column("h").to_numpy()
-            edge = np.flatnonzero(h[1:] != h[:-1]) + 1
-            cut = int(edge[-1]) if len(edge) and t.nbytes > 6_000_000 else 0
-            if cut:
-                yield from done(t.slice(0, cut).combine_chunks())
-            rest = t.slice(cut).combine_chunks()
+            size = np.cumsum(pc.binary_length(t.column("bytes")).to_numpy())
+            begin = 0
+            for cut in (np.flatnonzero(h[1:] != h[:-1]) + 1).tolist():
+                if size[cut - 1] - (size[begin - 1] if begin else 0) > ROUND:
+                    yield from done(t.slice(begin, cut - begin).combine_chunks())
+                    begin = cut
+            rest = t.slice(begin).combine_chunks()
         if rest is not None and rest.num_rows:
             yield from done(rest)
 
