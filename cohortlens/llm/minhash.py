@@ -234,58 +234,112 @@ def components(edges: DataFrame) -> DataFrame:
     return stage(stars.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()), "labels")
 
 
-def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Possible links within each bucket between members that no path of links joins yet.
-
-    members: key, size, id, n, regs, label. A bucket is cut into blocks of BLOCK members and each pair of
-    blocks is one task's work, so no task holds a large bucket and no pair leaves it unless its
-    registers leave the threshold possible.
-    """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = members.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = mine.select("key", "id", "n", "regs", "label", "blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "id", "n", "regs", "label")
-
-    def compare(ids, n, regs, label, blk, i, j):
-        left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        found = []
-        for x in left:
-            y = right[(label[right] != label[x]) & ((ids[right] > ids[x]) if i == j else True)]
-            if len(y):
-                a, b = regs[y], regs[x]
-                ok = may_link((a > b).sum(1), (a < b).sum(1), n[y].astype(float), np.full(len(y), float(n[x])), threshold)
-                found += [(max(ids[x], z), min(ids[x], z)) for z in ids[y[ok]]]
-        return found
+def _grouped(rows: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
+    """``work(table, bounds)`` on runs of whole (key, i, j) groups; a group is at most two blocks of documents."""
 
     def run(batches):
         rest = None
-        for t in batches:
-            t = pa.Table.from_batches([t])
-            if rest is not None:
-                t = pa.concat_tables([rest, t])
-            rest = yield from work(t, False)
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            if rest is not None and rest.num_rows:
+                t = pa.concat_tables([rest, t]).combine_chunks()
+            cut = yield from step(t, False)
+            rest = t.slice(cut)
         if rest is not None and rest.num_rows:
-            yield from work(rest, True)
+            yield from step(rest.combine_chunks(), True)
 
-    def work(t, last):
+    def step(t, last):
         if not t.num_rows:
-            return t
-        key, i, j, blk, ids, n, label = (t.column(c).to_numpy() for c in ("key", "i", "j", "blk", "id", "n", "label"))
+            return 0
+        key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
         edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         bounds = [0, *edge.tolist()] + ([len(key)] if last else [])
-        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        found = set()
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            s = slice(lo, hi)
-            if len(set(label[s].tolist())) > 1:
-                found.update(compare(ids[s], n[s], regs[s], label[s], blk[s], i[lo], j[lo]))
+            yield from work(t.slice(lo, hi - lo))
+        return bounds[-1]
+
+    return rows.select("key", "i", "j", *columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
+
+def _pairs_of(t, threshold: float):
+    """(y numbers, x number) of a group's possible links between labels that share no earlier band."""
+    blk, n, label = (t.column(c).to_numpy() for c in ("blk", "n", "label"))
+    i, j, band = (t.column(c)[0].as_py() for c in ("i", "j", "band"))
+    if (label == label[0]).all():
+        return
+    ids = t.column("id").to_numpy()
+    regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    right = np.flatnonzero(blk == j)
+    for x in np.flatnonzero(blk == i):
+        y = right[(label[right] != label[x]) & ((ids[right] > ids[x]) if i == j else True)]
+        if not len(y):
+            continue
+        equal = regs[y] == regs[x]
+        # with at most half of the registers equal the threshold is ruled out, whatever the sizes
+        near = 2 * equal.sum(1) > REGISTERS
+        y, equal = y[near], equal[near]
+        first = equal.reshape(len(y), -1, ROWS).all(2).argmax(1) if len(y) else y
+        y = y[first == band]
+        if len(y):
+            a, b = regs[y], regs[x]
+            y = y[may_link((a > b).sum(1), (a < b).sum(1), n[y].astype(float), np.full(len(y), float(n[x])), threshold)]
+            if len(y):
+                yield y, x
+
+
+def _cross_links(members: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links within each bucket between members that no path of links joins yet.
+
+    members: key, band, size, id, label. A bucket is cut into blocks of BLOCK members, and each pair of
+    blocks is one task's work, so no task holds a large bucket. A first pass over the registers
+    finds who has a possible link at all; only their texts go to the same groups, where each possible link is
+    verified on the full sets unless links found before it in the group imply it. Pairs never leave a group.
+    """
+    threshold = percent / 100
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    mine = members.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = mine.select("key", "band", "id", "label", "blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "band", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "id", "label")
+    known = sketches.select("id", "n", "regs")
+
+    def possible(t):
+        some = set()
+        for y, x in _pairs_of(t, threshold):
+            some.add(int(x))
+            some.update(y.tolist())
+        if some:
+            yield t.take(pa.array(sorted(some))).select(["key", "i", "j", "band", "blk", "id", "label"]).combine_chunks().to_batches()[0]
+
+    columns = ["band", "blk", "id", "label", "n", "regs"]
+    open_ = stage(_grouped(dealt.join(known, "id"), columns, possible, "key long, i int, j int, band int, blk int, id long, label long"), "possible")
+
+    def verified(t):
+        h, where = shingle_sets(t.column("text").to_pylist())
+        ids = t.column("id").to_pylist()
+        head = {}
+
+        def find(v):
+            while head.get(v, v) != v:
+                v = head[v]
+            return v
+
+        label, found = t.column("label").to_pylist(), []
+        for ys, x in _pairs_of(t, threshold):
+            for y in ys.tolist():
+                p, q = find(label[x]), find(label[y])
+                if p != q:
+                    u, v = h[where[x] : where[x + 1]], h[where[y] : where[y + 1]]
+                    if len(u) > len(v):
+                        u, v = v, u
+                    shared = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+                    if 100 * shared >= percent * (len(u) + len(v) - shared):
+                        head[max(p, q)] = min(p, q)
+                        found.append((ids[x], ids[y]))
         if found:
-            a, b = zip(*sorted(found), strict=True)
+            a, b = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        return t.slice(bounds[-1])
 
-    sorted_ = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return sorted_.mapInArrow(run, "a long, b long").distinct()
+    return _grouped(open_.join(known, "id").join(texts, "id"), [*columns, "text"], verified, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -311,7 +365,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "distinct_sets",
     )
     # an id whose rows hold different sets is linked by any of them
-    rows = sketches.select("id", F.explode("bands").alias("key"))
+    rows = sketches.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = stage(rows.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1"), "buckets")
     members = stage(rows.join(buckets, "key"), "members")
     pairs = members.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
@@ -323,11 +377,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stage(_verified(_estimated(pairs, sketches, threshold), present, percent).unionByName(same_id), "links")
     labels = components(links)
 
-    labelled = members.where("size > 2").join(labels, "id", "left").select("key", "size", "id", F.coalesce("label", "id").alias("label"))
+    labelled = members.where("size > 2").join(labels, "id", "left").select("key", "band", "size", "id", F.coalesce("label", "id").alias("label"))
     split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     open_ = stage(labelled.join(split, "key", "left_semi"), "open_buckets")
-    more = stage(_cross_pairs(open_.join(sketches.select("id", "n", "regs"), "id").select("key", "size", "id", "n", "regs", "label"), threshold), "cross_pairs")
-    new = stage(_verified(more, present, percent), "more_links")
+    new = stage(_cross_links(open_, sketches, present, percent), "more_links")
     if not new.isEmpty():
         labels = components(links.unionByName(new))
 
