@@ -14,8 +14,9 @@ from .base import _powers, chunks_of, mix64, ship, stage
 
 GRAM = 64  # q: bytes of the initial buckets
 HOT = 2048  # contexts in a bucket beyond which its windows are counted as rows
+STRIDE = 16  # windows of a chunk of a huge bucket's context
 ROUND = 700_000  # bytes of whole buckets that are refined together
-PIECE = 2_000_000  # bytes of one text that are worked on at a time
+PIECE = 1_000_000  # bytes of one text that are worked on at a time
 _LOW = np.uint64((1 << 24) - 1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,7 +110,7 @@ def _sampled(texts: DataFrame, length: int, rows: bool) -> DataFrame:
         for b in batches:
             held = b.column("text").to_pylist()
             ids, us = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "u"))
-            for i, j in chunks_of(held, 1_500_000):
+            for i, j in chunks_of(held):
                 parts = list(_pieces([(t or "").encode() for t in held[i:j]], length))
                 group, size = [], 0
                 for p in [*parts, None]:
@@ -201,19 +202,43 @@ def _refined(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _counted(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of the few huge buckets: one row for each window, counted with map-side aggregation."""
+    """Repeated windows of the few huge buckets, by counts that are aggregated on the map side.
+
+    A context's windows are dealt to chunks of STRIDE places relative to its anchor, so equal windows are in like
+    chunks. A chunk whose core, what all its windows share, stands once has no repeated window; one whose union
+    stands twice has only such; just the windows of the others are counted one by one.
+    """
 
     def run(batches):
         for b in batches:
+            out = {k: [] for k in ("core", "whole", "id", "u", "lo", "ws")}
             for raw, id_, u, lo in zip(*(b.column(c).to_pylist() for c in ("bytes", "id", "u", "lo")), strict=True):
-                s = np.arange(len(raw) - length + 1)
-                both = _Hash(np.frombuffer(raw, np.uint8)).spans(s, s + length)
-                n = len(s)
-                yield pa.RecordBatch.from_pydict({"w": both.view(np.int64), "id": np.full(n, id_), "u": np.full(n, u), "lo": lo + s})
-
-    windows = contexts.mapInArrow(run, "w long, id long, u long, lo long")
-    twice = stage(windows.groupBy("w").count().where("count > 1").select("w"), "hot_windows")
-    return windows.join(twice, "w").select("id", "u", "lo", F.col("lo").alias("hi"))
+                hashed = _Hash(np.frombuffer(raw, np.uint8))
+                n = len(raw) - length + 1
+                g = np.arange(length - GRAM + 1)
+                anchor = int(np.argmin(hashed.spans(g, g + GRAM) & ~_LOW))
+                s = np.arange(n)
+                windows = hashed.spans(s, s + length).view(np.int64)
+                first = np.flatnonzero(np.r_[True, np.diff((s - anchor) // STRIDE) != 0])
+                for x, y in zip(first.tolist(), [*first[1:].tolist(), n], strict=True):
+                    begin = (x - anchor) // STRIDE * STRIDE + anchor
+                    core = hashed.spans(np.array([begin + STRIDE - 1]), np.array([begin + length]))
+                    whole = hashed.spans(np.array([x]), np.array([y - 1 + length])).view(np.int64)[0] if y - x == STRIDE else None
+                    for k, v in zip(out, (core.view(np.int64)[0], whole, id_, u, lo + x, windows[x:y].tolist()), strict=True):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.list_(pa.int64()) if k == "ws" else pa.int64()) for k in out]))
+
+    chunks = stage(contexts.mapInArrow(run, "core long, whole long, id long, u long, lo long, ws array<long>"), "chunks")
+    again = lambda c: stage(chunks.where(F.col(c).isNotNull()).groupBy(c).count().where("count > 1").select(c), f"twice_{c}")
+    open_ = chunks.join(again("core"), "core").join(again("whole").withColumn("all", F.lit(True)), "whole", "left")
+    whole = open_.where("all").select("id", "u", "lo", (F.col("lo") + F.size("ws") - 1).alias("hi"))
+    single = open_.where("all IS NULL").select("id", "u", "lo", F.posexplode("ws").alias("k", "w"))
+    # a window of a whole chunk repeats already; one chunk tells it to the others that are cut off within the chunk
+    told = open_.where("all").groupBy("whole").agg(F.any_value("ws").alias("ws")).select(F.explode("ws").alias("w"), F.lit(2).alias("n"))
+    counted = single.select("w", F.lit(1).alias("n")).unionByName(told)
+    twice = stage(counted.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w"), "hot_windows")
+    one = single.join(twice, "w").select("id", "u", (F.col("lo") + F.col("k")).alias("lo"), (F.col("lo") + F.col("k")).alias("hi"))
+    return whole.unionByName(one)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
