@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters of the contracts, [\x20\x09-\x0D]. Fixed values.
 WS = " \t\n\x0b\f\r"
+#: Of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -72,8 +74,17 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, so that Python workers can import it wherever they start."""
+    """Send this package to the executors, so that Python workers can import it wherever they start.
+
+    Arrow batches are bounded in bytes, as texts differ in length by orders of magnitude: a batch is held by the
+    executor and by its worker, for each running task.
+    """
     sc = spark.sparkContext
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
     if getattr(sc, "_cohortlens_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -135,7 +146,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix64((prefix[ends] - prefix[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
 
 
-def chunks_of(texts: list, most_bytes: int = 4_000_000):
+def chunks_of(texts: list, most_bytes: int = 1_000_000):
     """Slices of the list whose texts hold about most_bytes at most; one longer text is a slice of its own."""
     begin, held = 0, 0
     for i, t in enumerate(texts):

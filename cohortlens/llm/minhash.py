@@ -186,7 +186,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             spans = []
             lengths = np.add(pc.binary_length(ta).to_numpy(zero_copy_only=False), pc.binary_length(tb).to_numpy(zero_copy_only=False))
             for i, n in enumerate(lengths):
-                if i > begin and size + n > 8_000_000:
+                if i > begin and size + n > 2_000_000:
                     spans.append((begin, i))
                     begin, size = i, 0
                 size += n
