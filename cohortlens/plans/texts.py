@@ -306,7 +306,7 @@ def _(v, spark):
     return runs.index_present(v("artifacts"))
 
 
-@query("q_op_tree_digest")
+@query("q_op_tree_digest", "SELECT run_id, sha256(string_agg(path || chr(0) || sha256 || chr(10), '' ORDER BY path, sha256)) AS tree_sha256, count(*) AS n_files FROM artifacts GROUP BY 1")
 def _(v, spark):
     return runs.tree_digest(v("artifacts"))
 
