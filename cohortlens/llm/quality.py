@@ -11,7 +11,7 @@ from .base import chunks_of, mix64, ship, span_hashes, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8  # words
-PER_CLASS, MAX_CHARS, MAX_LINES = 1500, 20_000, 120  # bound of the training sample
+PER_CLASS, MAX_CHARS, MAX_LINES = 1500, 8_000, 80  # bound of the training sample
 STEPS, STEP, RIDGE = 150, 0.2, 1e-3
 MIN_SHARE = 0.5  # of the word characters that must lie in content lines
 FEATURES = 22
@@ -199,7 +199,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = short.join(picked, F.col(id_col) == F.col("__id")).select(F.col(text_col).alias("text"), "__y").orderBy(F.md5("text")).limit(2 * PER_CLASS).collect()
     if len({r["__y"] for r in rows}) < 2:
         return None
-    _, f, text, _ = measure([r["text"] for r in rows])
+    texts = [r["text"] for r in rows]
+    parts = [(i, measure(texts[i:j])) for i, j in chunks_of(texts)]
+    f = np.concatenate([m[1] for _, m in parts])
+    text = np.concatenate([i + m[2] for i, m in parts])
     return Chain.fit(f, text, len(rows), 1 - np.array([int(r["__y"]) for r in rows])[text])
 
 
