@@ -13,7 +13,7 @@ BUCKETS = 1 << 17
 DIMENSIONS = 8
 GRAMS = (3, 4, 5, 6)  # characters of a subword; whole words count besides
 SEGMENT = 4  # words that are averaged together
-MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 2000, 4000, 6000
+MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 1000, 1500, 2000
 EPOCHS, WARM, BATCH, RATE, DECAY = 18, 5, 64, 0.15, 2e-7
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,39 +89,39 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> tuple[np.ndarra
     bias = np.zeros(2, np.float32)
     seen = np.full(BUCKETS, 1e-8, np.float32)
     seen_out, seen_bias = np.full_like(out, 1e-3), np.full_like(bias, 1e-3)
-    bags, owner = [], []
-    for i in range(0, len(texts), 256):
-        ids, segment, text = subwords(texts[i : i + 256])
-        order = np.argsort(segment, kind="stable")
-        ids, n = ids[order], np.bincount(segment, minlength=len(text))
-        ends = np.cumsum(n)
-        for k, (a, b) in enumerate(zip(ends - n, ends, strict=True)):
-            u, c = np.unique(ids[a:b], return_counts=True)
-            bags.append((u, (c / max(1, b - a)).astype(np.float32)))
-            owner.append(i + text[k])
-    owner = np.array(owner)
-    first = np.r_[np.searchsorted(owner, np.arange(len(texts))), len(bags)]
-    flat = np.concatenate([u for u, _ in bags])
-    part = np.concatenate([c for _, c in bags])
-    bag_of = np.repeat(np.arange(len(bags)), [len(u) for u, _ in bags])
+    flats, parts, sizes, owners = [], [], [], []
+    for i in range(0, len(texts), 128):
+        ids, segment, text = subwords(texts[i : i + 128])
+        key, count = np.unique(segment * BUCKETS + ids, return_counts=True)
+        of = key // BUCKETS
+        flats.append((key % BUCKETS).astype(np.int32))
+        parts.append((count / np.bincount(segment, minlength=len(text))[of]).astype(np.float32))
+        sizes.append(np.bincount(of, minlength=len(text)))
+        owners.append(i + text)
+    flat, part, owner = np.concatenate(flats), np.concatenate(parts), np.concatenate(owners)
+    del flats, parts
+    size = np.concatenate(sizes)
+    at = np.r_[0, np.cumsum(size)]
+    bag_of = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    first = np.r_[np.searchsorted(owner, np.arange(len(texts))), len(size)]
     y = np.asarray(labels)
     for epoch in range(EPOCHS):
         if epoch < WARM:
             chosen = np.array([rng.integers(first[d], first[d + 1]) for d in range(len(texts))])
         else:
-            z = np.bincount(bag_of, (emb @ (out[:, 1] - out[:, 0]))[flat] * part, len(bags))
+            z = np.bincount(bag_of, (emb @ (out[:, 1] - out[:, 0]))[flat] * part, len(size))
             chosen = np.array([first[d] + int(np.argmax(z[first[d] : first[d + 1]])) for d in range(len(texts))])
         order = rng.permutation(len(texts))
         rate = RATE * (1 - epoch / EPOCHS)
         for i in range(0, len(order), BATCH):
-            docs = [d for d in order[i : i + BATCH] if len(bags[chosen[d]][0])]
+            docs = [d for d in order[i : i + BATCH] if size[chosen[d]]]
             some = [chosen[d] for d in docs]
             if not some:
                 continue
-            ids = np.concatenate([bags[k][0] for k in some])
-            w = np.concatenate([bags[k][1] for k in some])
-            size = np.array([len(bags[k][0]) for k in some])
-            mean = np.add.reduceat(emb[ids] * w[:, None], np.r_[0, np.cumsum(size)[:-1]], axis=0)
+            ids = np.concatenate([flat[at[k] : at[k + 1]] for k in some])
+            w = np.concatenate([part[at[k] : at[k + 1]] for k in some])
+            n = size[some]
+            mean = np.add.reduceat(emb[ids] * w[:, None], np.r_[0, np.cumsum(n)[:-1]], axis=0)
             z = mean @ out + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -129,7 +129,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> tuple[np.ndarra
             g_out, g_bias, g_mean = mean.T @ p, p.sum(0), p @ out.T
             u, inverse = np.unique(ids, return_inverse=True)
             # the average divides by hundreds of subwords, so a bucket's steps are scaled by its own past gradients
-            per = np.repeat(g_mean, size, axis=0) * w[:, None]
+            per = np.repeat(g_mean, n, axis=0) * w[:, None]
             g = np.stack([np.bincount(inverse, per[:, d], len(u)) for d in range(DIMENSIONS)], 1).astype(np.float32)
             seen[u] += (g * g).mean(1)
             emb[u] -= rate * g / np.sqrt(seen[u])[:, None] + DECAY * emb[u]
