@@ -13,7 +13,7 @@ from .base import chunks_of, ship, stage
 
 # Element names and class words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("script style noscript template head title nav footer aside form button select textarea iframe svg canvas object dialog menu map audio video".split())
+NEVER = frozenset("script style noscript template head title nav footer aside button select textarea iframe svg canvas object dialog menu map audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul title".split()
 )
@@ -28,6 +28,10 @@ WORDS = frozenset(
 )
 
 
+#: Of elements: text counts, is left out unless an article or main lies in it or the page has nothing else, or never counts.
+KEPT, ASIDE, OUT = 0, 1, 2
+
+
 class _Open:
     __slots__ = ("tag", "skip", "first", "content", "main", "candidate")
 
@@ -40,11 +44,13 @@ class Page(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        #: [text, rank of the region it lies in: 2 article, 1 main, 0 elsewhere; hashes of the containers around it]
+        #: [text, rank of the region it lies in: 2 article, 1 main, 0 elsewhere; hashes of the containers around it; whether it is left out]
         self.pieces: list[list] = []
         self.subtrees: set[int] = set()
-        self.stack = [_Open("", False, 0, 0, False)]
-        self.text: list[str] = []
+        self.stack = [_Open("", KEPT, 0, 0, False)]
+        #: Of the block being read: what counts, and what is left out.
+        self.text: tuple[list[str], list[str]] = ([], [])
+        self.marked = False
         self.feed(html)
         self.close()
         while len(self.stack) > 1:
@@ -52,13 +58,13 @@ class Page(HTMLParser):
         self._flush()
 
     def _flush(self):
-        if self.text:
-            t = " ".join("".join(self.text).split())
-            self.text = []
+        for aside, part in enumerate(self.text):
+            t = " ".join("".join(part).split())
+            part.clear()
             if t:
                 top = self.stack[-1]
                 top.content.append(t)
-                self.pieces.append([t, top.main, []])
+                self.pieces.append([t, top.main, [], bool(aside)])
 
     def _pop(self):
         top = self.stack[-1]
@@ -85,7 +91,7 @@ class Page(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
-            self.text.append(" ")
+            self.text[self.stack[-1].skip == ASIDE].append(" ")
             return
         if tag in ENDS_P:
             self._close(("p",), ("article", "main", "div", "section", "td", "th", "li", "blockquote", "body", "button", "figure", "aside", "footer", "header", "nav"))
@@ -97,18 +103,19 @@ class Page(HTMLParser):
         if tag in VOID:
             return
         up = self.stack[-1]
-        skip = up.skip or tag in NEVER
+        skip = OUT if tag in NEVER else up.skip
         main = 2 if tag == "article" else 1 if tag == "main" else 0
-        if not skip and (tag in BLOCK or attrs):
-            named = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role")).replace("-", " ").replace("_", " ").split()
-            if "main" in named and tag in CONTAINERS and any(k == "role" for k, _ in attrs):
+        if skip != OUT and (tag in BLOCK or attrs):
+            named = {w for k, v in attrs if v and k in ("class", "id", "role") for w in v.lower().split()}
+            if tag in CONTAINERS and any(k == "role" and v and "main" in v.lower().split() for k, v in attrs):
                 main = max(main, 1)
-            if tag not in ("article", "main", "body", "html") and not WORDS.isdisjoint(named):
-                skip = True
-            if tag == "header" and up.main < 2:
-                skip = True
+            if main:
+                skip = KEPT
+                self.marked = True
+            elif tag == "form" or tag == "header" and up.main < 2 or not up.main and tag not in ("body", "html") and not WORDS.isdisjoint(named):
+                skip = ASIDE
         if any(k == "hidden" for k, _ in attrs):
-            skip = True
+            skip = OUT
         self.stack.append(_Open(tag, skip, len(self.pieces), max(main, up.main), tag in CONTAINERS))
 
     def handle_startendtag(self, tag, attrs):
@@ -119,7 +126,7 @@ class Page(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag == "br":
-            self.text.append(" ")
+            self.text[self.stack[-1].skip == ASIDE].append(" ")
             return
         if tag in BLOCK:
             self._flush()
@@ -127,19 +134,22 @@ class Page(HTMLParser):
 
     def handle_data(self, data):
         top = self.stack[-1]
-        if top.skip:  # counts for the subtree's hash, and leaves the block around it whole
+        if top.skip == OUT:  # counts for the subtree's hash, and leaves the block around it whole
             if t := " ".join(data.split()):
                 top.content.append(t)
         else:
-            self.text.append(data)
+            self.text[top.skip == ASIDE].append(data)
 
     def unknown_decl(self, data):
         pass
 
     def main_pieces(self) -> list[list]:
-        """The pieces of the highest region that has any."""
-        top = max((p[1] for p in self.pieces), default=0)
-        return [p for p in self.pieces if p[1] == top]
+        """The pieces of the highest region that has any; a page without article and main that has only left-out text keeps it."""
+        pieces = [p for p in self.pieces if not p[3]]
+        if not pieces and not self.marked:
+            pieces = self.pieces
+        top = max((p[1] for p in pieces), default=0)
+        return [p for p in pieces if p[1] == top]
 
 
 def _parsed(pages: DataFrame, with_text: bool) -> DataFrame:
@@ -157,14 +167,14 @@ def _parsed(pages: DataFrame, with_text: bool) -> DataFrame:
                 uid = pa.array([xxhash.xxh64_intdigest(f"{x}\x00{h}") - (1 << 63) for x, h in zip(host[i:j], html[i:j], strict=True)], pa.int64())
                 part = b.slice(i, j - i)
                 if with_text:
-                    made = [pa.array([[{"text": t, "inside": sorted(set(x))} for t, _, x in d.main_pieces()] for d in done], piece)]
+                    made = [pa.array([[{"text": t, "inside": sorted(set(x))} for t, _, x, _ in d.main_pieces()] for d in done], piece)]
                     names = ["pieces"]
                 else:
-                    content = [xxhash.xxh64_intdigest("\n".join(t for t, _, _ in d.main_pieces())) - (1 << 63) for d in done]
+                    content = [xxhash.xxh64_intdigest("\n".join(t for t, *_ in d.main_pieces())) - (1 << 63) for d in done]
                     made = [
                         pa.array(content, pa.int64()),
                         pa.array([sorted(d.subtrees) for d in done], pa.list_(pa.int64())),
-                        pa.array([sorted({h for _, _, x in d.main_pieces() for h in x}) for d in done], pa.list_(pa.int64())),
+                        pa.array([sorted({h for _, _, x, _ in d.main_pieces() for h in x}) for d in done], pa.list_(pa.int64())),
                     ]
                     names = ["content", "subtrees", "open"]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [uid, *made], names=[*keep, "uid", *names])
@@ -173,14 +183,15 @@ def _parsed(pages: DataFrame, with_text: bool) -> DataFrame:
     return pages.mapInArrow(run, f"{kinds}, uid long, {extra}")
 
 
-def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", text_col: str = "text", min_pages: int = 10) -> DataFrame:
+def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", text_col: str = "text", min_pages: int = 10, few_pages: int = 4, share: float = 0.5) -> DataFrame:
     """``pages`` with ``text_col``, the main text of each whole page, in place of the html.
 
     Text lies in the article elements, without any in main, without any anywhere; menus, headers,
     footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by element name
-    or class. Then site templates go: each container's subtree is hashed, and one that stands on
-    ``min_pages`` pages of a host with different main texts (copies of a page count once) is deleted wherever it
-    stands on that host. Paragraphs and headings are no containers, so a text that recurs stays. Blocks are
+    or whole class name; by class, only outside article and main, never with an article or main in it,
+    and never all text of a page without these. Then site templates go: each container's subtree is hashed, and one that
+    stands on ``min_pages`` pages of a host with different main texts (copies of a page count once), or on ``few_pages`` and a
+    ``share`` of them on a smaller host, is deleted wherever it stands on that host. Paragraphs and headings are no containers, so a text that recurs stays. Blocks are
     joined by a line feed, white space in a block is one space, character references are decoded.
 
     A null or empty html gives an empty text; a null url is a host of its own name, ''. Equal pages are
@@ -194,7 +205,10 @@ def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", te
     given = pages.select(F.col(html_col).alias("html"), host.alias("host"), *inner)
     seen = stage(_parsed(given.select("html", "host"), False), "subtrees")
     stands = seen.select("host", "content", F.explode("subtrees").alias("h")).distinct()
-    template = stage(stands.groupBy("host", "h").count().where(F.col("count") >= min_pages).select("host", "h"), "templates")
+    counts = stage(stands.groupBy("host", "h").count().where(F.col("count") >= min(few_pages, min_pages)), "template_counts")
+    small = seen.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") < min_pages)
+    some = counts.where(F.col("count") < min_pages).join(small, "host").where(F.col("count") >= F.greatest(F.lit(few_pages), F.ceil(F.col("n") * share)))
+    template = stage(counts.where(F.col("count") >= min_pages).select("host", "h").unionByName(some.select("host", "h")), "templates")
     hits = seen.where(F.size("open") > 0).select("uid", "host", F.explode("open").alias("h")).distinct().join(template, ["host", "h"])
     gone = stage(hits.groupBy("uid").agg(F.collect_list("h").alias("gone")), "template_hits")
     out = _parsed(given, True).join(gone, "uid", "left")

@@ -147,6 +147,21 @@ def test_templates(spark):
     assert all("other stories" in out[50 + i] for i in range(3)) and all(out[80 + i] == "Copied page" for i in range(30)) and out[120] == "bare"
 
 
+def test_wrappers_and_small_hosts(spark):
+    """Class words take no article or main with them and no text in these; boxes of hosts with few pages go by their share."""
+    box = "<div class=tip><p>Read our other stories</p></div>"
+    rows = [
+        (1, "http://w.x/1", "<body><div class='with-sidebar'><article><p>A</p><p class='notice'>B</p><section id='menu'><p>C</p></section></article></div><div class=ad>x</div>"),
+        (2, "http://w.x/2", "<form class='page login'><main><p>D</p></main></form><div class='no-comments'>out of main</div>"),
+        (3, "http://w.x/3", "<div class='no-comments'><p>E</p></div><div class='comments big'>first!</div>"), (4, "http://w.x/4", "<div class=sidebar>all there is</div>"),
+        (5, "http://w.x/5", "<div class=ad>x</div><article></article>"),
+    ]
+    rows += [(10 + i, f"http://s.x/{i}", page(f"{box if i else ''}<p>{words(6)}</p>")) for i in range(6)] + [(20 + i, f"http://t.x/{i}", page(f"{box if i < 4 else ''}<p>{words(6)}</p>")) for i in range(9)]
+    out = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[i] for i in range(1, 6)] == ["A\nB\nC", "D", "E", "all there is", ""]
+    assert not any("other stories" in out[10 + i] for i in range(6)) and all("other stories" in out[20 + i] for i in range(4))
+
+
 # ---- quality
 
 
