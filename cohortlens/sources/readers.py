@@ -50,6 +50,11 @@ def _get(name: str) -> Column:
     return F.when(~v.isin("", "-"), v)
 
 
+def _from(cells: Column | str, start: int) -> Column:
+    """The cells of a row from the start-th (from 1) to its end."""
+    return F.slice(cells, start, F.greatest(F.size(cells) - (start - 1), F.lit(0)))
+
+
 def trace(spark: SparkSession, path: str) -> DataFrame:
     """Task rows with usage; columns are found by header name, absent ones are NULL, and the process is the name column."""
     t = _table(_text(spark, path))
@@ -74,7 +79,7 @@ def vcf(spark: SparkSession, path: str) -> DataFrame:
     gt = F.when(at > 0, F.get(F.split(F.get("c", F.lit(9)), ":"), (at - 1).cast("int")))
     return rows.select(
         "run_id", "path", "line", F.col("c")[0].alias("chrom"), F.col("c")[1].try_cast("long").alias("pos"), F.col("c")[3].alias("ref"), F.col("c")[4].alias("alt"),
-        F.trim(F.get("c", F.lit(6))).alias("filter"), F.get("c", F.lit(7)).alias("info"), F.get("c", F.lit(8)).alias("format"), F.slice("c", 10, 1000).alias("samples"), gt.alias("gt"),
+        F.trim(F.get("c", F.lit(6))).alias("filter"), F.get("c", F.lit(7)).alias("info"), F.get("c", F.lit(8)).alias("format"), _from("c", 10).alias("samples"), gt.alias("gt"),
     )
 
 
@@ -92,7 +97,7 @@ def vcf_header(spark: SparkSession, path: str) -> DataFrame:
         F.max(F.nullif(F.regexp_extract(v, r"^##INFO=<ID=CSQ.*Format: ([^\">]+)", 1), F.lit(""))).alias("csq"), F.bool_or(F.startswith(v, F.lit("##INFO=<ID=ANN"))).alias("has_ann"),
         F.max(F.nullif(F.regexp_extract(v, r"^##contig=<ID=(?:chr)?X,length=([0-9]+)", 1), F.lit(""))).alias("x_length"), F.array_sort(F.collect_list(F.when(F.startswith(v, F.lit("##GATKCommandLine")), v))).alias("gatk"),
     )
-    place = lambda c: F.nullif(F.array_position(F.slice(F.split("columns", "\t"), 10, 1000), F.col(c)), F.lit(0)) - 1
+    place = lambda c: F.nullif(F.array_position(_from(F.split("columns", "\t"), 10), F.col(c)), F.lit(0)) - 1
     index = lambda n: F.nullif(F.array_position(F.split("csq", "[|]"), n), F.lit(0)) - 1
     build = F.lit(None).cast("string")
     for length, name in CHRX_LENGTH.items():
@@ -103,7 +108,7 @@ def vcf_header(spark: SparkSession, path: str) -> DataFrame:
 def count_matrix(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """Gene counts: the sum of each row's numeric cells; rows without any (such as the header) go, repeated ids add up."""
     c = F.split("value", sep)
-    values = F.filter(F.transform(F.slice(c, 2, 100000), lambda x: S.number(x)), lambda x: x.isNotNull())
+    values = F.filter(F.transform(_from(c, 2), lambda x: S.number(x)), lambda x: x.isNotNull())
     rows = _text(spark, path).select("run_id", "path", F.trim(c[0]).alias("gene_id"), values.alias("v")).where(F.size("v") > 0)
     return rows.groupBy("run_id", "path", "gene_id").agg(F.sum(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("count"))
 

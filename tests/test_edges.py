@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import scalars as S
 from cohortlens.operators import corpus, counts, qc, references, runs, text, variants
+from cohortlens.sources import readers
 from cohortlens.streaming import streams
 
 
@@ -113,6 +114,22 @@ def test_promotion_errors(spark):
     assert {(r.case_id, r.reason) for r in errors.collect()} == {("2", "already golden"), ("3", "unknown case")}
 
 
+def test_wide_files_are_read_to_their_last_column(spark, tmp_path):
+    (tmp_path / "v/runs/r").mkdir(parents=True)
+    (tmp_path / "m/runs/r").mkdir(parents=True)
+    names = [f"s{i}" for i in range(1500)]
+    fixed = ["1", "7", ".", "A", "G", "50", "PASS", ".", "GT"]
+    head = ["##tumor_sample=s1499", "##normal_sample=s1200", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])]
+    rows = ["\t".join([*fixed, *[f"0/{i}" for i in range(1500)]]), "\t".join(fixed[:5])]
+    (tmp_path / "v/runs/r/a.vcf").write_text("\n".join([*head, *rows]) + "\n")
+    samples = sorted((r.samples or [] for r in readers.vcf(spark, str(tmp_path / "v")).collect()), key=len)
+    assert [len(x) for x in samples] == [0, 1500] and samples[1][-1] == "0/1499"
+    h = readers.vcf_header(spark, str(tmp_path / "v")).first()
+    assert (h.tumor_at, h.normal_at) == (1499, 1200)
+    (tmp_path / "m/runs/r/a.tsv").write_text("g\t" + "\t".join(["1"] * 100_500) + "\nh\n")
+    assert [(r.gene_id, r["count"]) for r in readers.count_matrix(spark, str(tmp_path / "m")).collect()] == [("g", 100_500.0)]
+
+
 def test_stall_stream_equals_batch(spark, tmp_path):
     rows = [("a", f"2024-01-01 00:{m:02d}:00", s) for m, s in ((0, 1), (5, 1), (10, 2), (20, 2), (45, 2))] + [("b", "2024-01-01 00:03:00", 1), ("b", "2024-01-01 00:30:00", 1)]
     df = spark.createDataFrame(rows, "run_id string, t string, size long").select("run_id", F.col("t").cast("timestamp").alias("ts"), "size", F.lit(0).cast("long").alias("mtime"), F.lit(1).cast("long").alias("n_files"))
