@@ -52,7 +52,8 @@ def nearest(
     under its ``probes`` nearest axes in each and reranks all it finds by the exact cosine of the original
     vectors in double precision, ties to the smaller id. Vectors that are null, zero or hold null or
     non-finite components, null ids, and vectors of another length than the query's take no part; rows of
-    one id and vector are one. Fewer than ``k`` candidates give fewer rows; empty input none.
+    one id and vector are one. A query that finds fewer than ``k`` this way is compared with all rows of its length.
+    Fewer than ``k`` candidates give fewer rows; empty input none.
 
     Equal vectors go into the index as their k + 1 smallest ids (no query can need more of them), by a
     limit that Spark applies before the shuffle. A bucket larger than BLOCK is cut into blocks, each with its
@@ -93,11 +94,21 @@ def nearest(
 
         return run
 
+    def whole(batches):
+        for b in batches:
+            v = b.column("v").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in v], pa.int64()), b.column("id"), pa.array([np.array(x, float).tobytes() for x in v], pa.binary())], names=["key", "id", "raw"])
+
     shape = "key long, id long, raw binary"
     index = stage(kept.mapInArrow(hashed(False), shape), "ann_index")
     sizes = stage(index.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "ann_sizes")
-    rows = index.join(sizes, "key").select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("kind"), "id", "raw")
-    probes_ = asked.mapInArrow(hashed(True), shape).join(sizes, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), "id", "raw")
+
+    def dealt(indexed, wanted, sizes):
+        """Index rows in blocks of their bucket, and the queries of the bucket with each of these."""
+        rows = indexed.join(sizes, "key").select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("kind"), "id", "raw")
+        return rows, wanted.join(sizes, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), "id", "raw")
+
+    rows, probes_ = dealt(index, asked.mapInArrow(hashed(True), shape), sizes)
 
     def best(q, qid, x, xid):
         """The k best of x for each q; exact cosines."""
@@ -146,7 +157,22 @@ def nearest(
         if rest is not None and rest.num_rows:
             yield from done(rest)
 
-    grouped = rows.unionByName(probes_).repartition("key", "block").sortWithinPartitions("key", "block", "kind")
-    found = grouped.mapInArrow(compare, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    shape_found = "query_id long, vec_id long, score double"
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def reranked(indexed, wanted):
+        both = indexed.unionByName(wanted).repartition("key", "block").sortWithinPartitions("key", "block", "kind")
+        return both.mapInArrow(compare, shape_found)
+
+    def ranked(found):
+        one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    # Queries that found fewer than k: all rows of their length, which the index holds once in its first table.
+    top = stage(ranked(reranked(rows, probes_)), "ann_found")
+    enough = top.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))
+    short = stage(asked.join(enough, "id", "left_anti").mapInArrow(whole, shape), "ann_short")
+    once = index.where(F.shiftright("key", 24).bitwiseAND(255) == 0).withColumn("key", F.shiftright("key", 32))
+    sizes = stage(once.join(short.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "ann_short_sizes")
+    rest = reranked(*dealt(once, short, sizes))
+    return ranked(top.select("query_id", "vec_id", "score").unionByName(rest))

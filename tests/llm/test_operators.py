@@ -231,6 +231,18 @@ def test_neighbours_exact_scores_and_recall(spark):
     assert not set(out) & {2000, 2001, 2002, 2003, 2050} and ann.nearest(df.limit(0)).count() == 0
 
 
+def test_few_neighbours_are_all_found(spark):
+    """2 to 6 vectors of a length, padded to 64 dimensions: each finds all others of its length, best first."""
+    g = np.random.default_rng(3)
+    x = {100 * m + i: v for m in range(2, 7) for i, v in enumerate(g.normal(size=(m, 66 - m)))}
+    out = {}
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id long, embedding array<double>"), every=1).collect():
+        out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+    for i, v in x.items():
+        near = sorted((-round(float(v @ w / np.sqrt(v @ v) / np.sqrt(w @ w)), 9), j) for j, w in x.items() if j // 100 == i // 100 and j != i)
+        assert sorted(out[i]) == [(n + 1, j, -c) for n, (c, j) in enumerate(near)]
+
+
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 33))
     assert np.allclose(np.linalg.norm(ann.rotate(x, 7), axis=1), np.linalg.norm(x, axis=1))
