@@ -16,6 +16,8 @@ ROWS = 4  # registers in a band
 BASE, RATE, TOP = 1.001, 20.0, 65534  # b, a and q of the sketch
 #: A pair is dropped by the estimate only if the threshold is this much less likely (natural log) than the best fit.
 DOUBT = 10.0
+#: Sets of up to so many shingles are also linked without bands: with 75 percent or more, such a set and a smaller one differ in one shingle.
+SMALL = 6
 BLOCK = 512  # documents on each side of one comparison task
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -125,7 +127,10 @@ def may_link(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fingerprint of the set (fp1, fp2), registers and band keys, from doc_id and text."""
+    """doc_id, n_shingles, fingerprint of the set (fp1, fp2), registers and band keys, from doc_id and text.
+
+    less: for sets of 2 to SMALL shingles, the fingerprints without each of these.
+    """
     ship(docs.sparkSession)
 
     def run(batches):
@@ -134,23 +139,30 @@ def _sketches(docs: DataFrame) -> DataFrame:
             for i, j in chunks_of(texts):
                 hashes, where = shingle_sets(texts[i:j])
                 n = np.diff(where)
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(hashes), dtype=np.uint64)])
-                both = np.concatenate([[np.uint64(0)], np.cumsum(mix64(hashes ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)])
+                one, two = mix64(hashes), mix64(hashes ^ np.uint64(0xA0761D6478BD642F))
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(one, dtype=np.uint64)])
+                both = np.concatenate([[np.uint64(0)], np.cumsum(two, dtype=np.uint64)])
+                fp1, fp2 = sums[where[1:]] - sums[where[:-1]], both[where[1:]] - both[where[:-1]]
+                small = (n >= 2) & (n <= SMALL)
+                out = np.repeat(small, n)
+                less = [pa.array((np.repeat(f, n) - x)[out].view(np.int64)) for f, x in ((fp1, one), (fp2, two))]
+                ends = np.concatenate([[0], np.cumsum(np.where(small, n, 0))])
                 regs = registers(hashes, where)
                 keys = bands(regs)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(i, j - i),
                         pa.array(n, pa.int64()),
-                        pa.array((sums[where[1:]] - sums[where[:-1]]).view(np.int64)),
-                        pa.array((both[where[1:]] - both[where[:-1]]).view(np.int64)),
+                        pa.array(fp1.view(np.int64)),
+                        pa.array(fp2.view(np.int64)),
                         pa.array([r.tobytes() for r in regs], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel())),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(less, names=["fp1", "fp2"])),
                     ],
-                    names=["id", "n", "fp1", "fp2", "regs", "bands"],
+                    names=["id", "n", "fp1", "fp2", "regs", "bands", "less"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, fp1 long, fp2 long, regs binary, bands array<long>")
+    return docs.mapInArrow(run, "id long, n long, fp1 long, fp2 long, regs binary, bands array<long>, less array<struct<fp1:bigint,fp2:bigint>>")
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
@@ -351,7 +363,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are linked with nothing, have a null component and are kept. Empty input gives empty output.
 
     Equal sets collapse to their smallest id first, so copies cost a row. In each bucket all members are
-    compared with its smallest member; only buckets whose members then lie in several components go
+    compared with its smallest member; sets of up to SMALL shingles also with those of one shingle less. Only buckets whose members then lie in several components go
     on to comparisons of the others, in blocks. Sketches, estimates, verification and components are
     tables in the shared folder. Nothing of the corpus reaches the driver.
     """
@@ -361,7 +373,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = all_rows.where(F.col("id").isNotNull() & (F.col("n") > 0))
     reps = stage(some.groupBy("fp1", "fp2").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "representatives")
     sketches = stage(
-        some.join(reps.select("fp1", "fp2", F.col("id").alias("rep")), ["fp1", "fp2"]).where("id = rep").select("id", "n", "regs", "bands", "fp1", "fp2").dropDuplicates(["id", "fp1", "fp2"]),
+        some.join(reps.select("fp1", "fp2", F.col("id").alias("rep")), ["fp1", "fp2"]).where("id = rep").select("id", "n", "regs", "bands", "less", "fp1", "fp2").dropDuplicates(["id", "fp1", "fp2"]),
         "distinct_sets",
     )
     # an id whose rows hold different sets is linked by any of them
@@ -374,7 +386,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         some.join(own_sets, "id", "left_semi").select("id", "fp1", "fp2").join(reps.select("fp1", "fp2", F.col("id").alias("rep")), ["fp1", "fp2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     )
     present = texts.where(F.col("id").isNotNull())
-    links = stage(_verified(_estimated(pairs, sketches, threshold), present, percent).unionByName(same_id), "links")
+    less = sketches.where(F.size("less") > 0).select(F.col("id").alias("a"), F.explode("less").alias("l")).select("a", F.col("l.fp1").alias("fp1"), F.col("l.fp2").alias("fp2"))
+    tiny = less.join(sketches.where(F.col("n") < SMALL).select("fp1", "fp2", F.col("id").alias("b")), ["fp1", "fp2"]).where("a <> b").select("a", "b")
+    near = _estimated(pairs, sketches, threshold).unionByName(tiny).distinct()
+    links = stage(_verified(near, present, percent).unionByName(same_id), "links")
     labels = components(links)
 
     labelled = members.where("size > 2").join(labels, "id", "left").select("key", "band", "size", "id", F.coalesce("label", "id").alias("label"))

@@ -321,6 +321,17 @@ def test_near_duplicates(spark, monkeypatch):
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_tiny_sets_that_share_no_band_are_linked(spark):
+    """8 words and their first 7: 3 of 4 shingles, exactly the threshold; 7 and 6 words are 2 of 3, below it."""
+    texts = [" ".join(f"{w}q{j}" for j in range(8)) for w in ("w0x440", "w1x461", "w3x805")]
+    less = [t.rsplit(" ", 1)[0] for t in texts]
+    a, b = (minhash.bands(minhash.registers(*minhash.shingle_sets(x))) for x in (texts, less))
+    assert not (a == b).any()
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate([*texts, *less, "a b c d e f g", "a b c d e f"])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == near_by_hand(rows) == {0: (4, 0), 1: (4, 1), 2: (4, 2), 3: (3, 0), 4: (3, 1), 5: (3, 2), 6: (3, 6), 7: (2, 7)}
+
+
 def test_registers_merge_and_estimate():
     g = np.random.default_rng(4)
     a, b = (np.unique(g.integers(0, 2**63, 900).astype(np.uint64)) for _ in range(2))
