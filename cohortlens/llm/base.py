@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +101,29 @@ def ship(spark: SparkSession) -> None:
     sc._cohortlens_shipped = True
 
 
+def frugal(run):
+    """``run``, an Arrow function, giving the memory that a task has freed back to the machine when it ends.
+
+    Spark keeps Python workers for the next task, and with them what their allocators hold back.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: the worker just keeps what it holds
+        pass
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else; the fast ``lower`` where the text is ASCII throughout."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

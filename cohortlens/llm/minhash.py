@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import chunks_of, mix64, ship, span_hashes, stage, word_spans
+from .base import chunks_of, frugal, mix64, ship, span_hashes, stage, word_spans
 
 WIDTH = 5  # words in a shingle
 REGISTERS = 128  # m, a power of two
@@ -162,7 +162,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                     names=["id", "n", "fp1", "fp2", "regs", "bands", "less"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, fp1 long, fp2 long, regs binary, bands array<long>, less array<struct<fp1:bigint,fp2:bigint>>")
+    return docs.mapInArrow(frugal(run), "id long, n long, fp1 long, fp2 long, regs binary, bands array<long>, less array<struct<fp1:bigint,fp2:bigint>>")
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
@@ -179,7 +179,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataF
             ok = may_link((ra > rb).sum(1), (ra < rb).sum(1), n_a, n_b, threshold)
             yield t.select(["a", "b"]).filter(pa.array(ok))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(frugal(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -221,7 +221,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     ok.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
                 yield t.slice(i, j - i).select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(frugal(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -270,7 +270,7 @@ def _grouped(rows: DataFrame, columns: list[str], work, schema: str) -> DataFram
             yield from work(t.slice(lo, hi - lo))
         return bounds[-1]
 
-    return rows.select("key", "i", "j", *columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+    return rows.select("key", "i", "j", *columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(frugal(run), schema)
 
 
 def _pairs_of(t, threshold: float):
@@ -282,8 +282,8 @@ def _pairs_of(t, threshold: float):
     ids = t.column("id").to_numpy()
     regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
     right = np.flatnonzero(blk == j)
-    for x in np.flatnonzero(blk == i):
-        y = right[(label[right] != label[x]) & ((ids[right] > ids[x]) if i == j else True)]
+    for x in np.flatnonzero((blk == i) | (i == -1)):
+        y = right[(label[right] != label[x]) & ((ids[right] > ids[x]) if blk[x] == j else True)]
         if not len(y):
             continue
         equal = regs[y] == regs[x]
@@ -299,20 +299,33 @@ def _pairs_of(t, threshold: float):
                 yield y, x
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members of each bucket in groups (key, i, j) in which every two of different labels meet once.
+
+    members: key, band, size, id, label, most (the label with most members), n_most. The members of that label
+    need not meet each other, so their blocks -1, -2, ... only meet the blocks 0, 1, ... of the rest. Within
+    block j the rest meets in group (-1, j). A member goes to as many groups as the other side has blocks, which
+    is one where the rest fits a block.
+    """
+    major = F.col("label") == F.col("most")
+    at = members.withColumn("many", F.ceil(F.col("n_most") / BLOCK).cast("int")).withColumn("few", F.ceil((F.col("size") - F.col("n_most")) / BLOCK).cast("int"))
+    hashed = F.xxhash64("id")
+    at = at.withColumn("blk", F.when(major, -1 - F.pmod(hashed, F.col("many"))).otherwise(F.pmod(hashed, F.col("few"))).cast("int"))
+    others = F.when(major, F.sequence(F.lit(0), F.col("few") - 1)).otherwise(F.sequence(-F.col("many"), F.col("few") - 1))
+    at = at.select("key", "band", "id", "label", "blk", F.explode(others).alias("other")).where("blk <> other")
+    return at.select("key", "band", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "id", "label")
+
+
 def _cross_links(members: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links within each bucket between members that no path of links joins yet.
 
-    members: key, band, size, id, label. A bucket is cut into blocks of BLOCK members, and each pair of
-    blocks is one task's work, so no task holds a large bucket. A first pass over the registers
-    finds who has a possible link at all; only their texts go to the same groups, where each possible link is
-    verified on the full sets unless links found before it in the group imply it. Pairs never leave a group.
+    members: as in ``_dealt``, whose groups are one task's work at a time, so no task holds a large bucket. A first
+    pass over the registers finds who has a possible link at all; only their texts go to the same groups, where
+    each possible link is verified on the full sets unless links found before it in the group imply it. Pairs
+    never leave a group.
     """
     threshold = percent / 100
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = members.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = mine.select("key", "band", "id", "label", "blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "band", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "id", "label")
-    known = sketches.select("id", "n", "regs")
+    columns = ["band", "blk", "id", "label", "n", "regs"]
 
     def possible(t):
         some = set()
@@ -320,10 +333,10 @@ def _cross_links(members: DataFrame, sketches: DataFrame, texts: DataFrame, perc
             some.add(int(x))
             some.update(y.tolist())
         if some:
-            yield t.take(pa.array(sorted(some))).select(["key", "i", "j", "band", "blk", "id", "label"]).combine_chunks().to_batches()[0]
+            yield t.take(pa.array(sorted(some))).select(["key", "i", "j", *columns]).combine_chunks().to_batches()[0]
 
-    columns = ["band", "blk", "id", "label", "n", "regs"]
-    open_ = stage(_grouped(dealt.join(known, "id"), columns, possible, "key long, i int, j int, band int, blk int, id long, label long"), "possible")
+    dealt = _dealt(members).join(sketches.select("id", "n", "regs"), "id")
+    open_ = stage(_grouped(dealt, columns, possible, "key long, i int, j int, band int, blk int, id long, label long, n long, regs binary"), "possible")
 
     def verified(t):
         h, where = shingle_sets(t.column("text").to_pylist())
@@ -351,7 +364,7 @@ def _cross_links(members: DataFrame, sketches: DataFrame, texts: DataFrame, perc
             a, b = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return _grouped(open_.join(known, "id").join(texts, "id"), [*columns, "text"], verified, "a long, b long")
+    return _grouped(open_.join(texts, "id"), [*columns, "text"], verified, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -393,8 +406,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
 
     labelled = members.where("size > 2").join(labels, "id", "left").select("key", "band", "size", "id", F.coalesce("label", "id").alias("label"))
-    split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    open_ = stage(labelled.join(split, "key", "left_semi"), "open_buckets")
+    classes = labelled.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("labels"))
+    split = classes.where("labels > 1").select("key", F.col("top.label").alias("most"), F.col("top.count").alias("n_most"))
+    open_ = stage(labelled.join(split, "key"), "open_buckets")
     new = stage(_cross_links(open_, sketches, present, percent), "more_links")
     if not new.isEmpty():
         labels = components(links.unionByName(new))
