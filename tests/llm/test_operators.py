@@ -404,3 +404,40 @@ def test_repeats(spark, monkeypatch, hot):
 
 def test_repeats_empty(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [2048, 2])
+def test_passages_shorter_than_what_is_removed_are_counted(spark, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    short, brief = words(55, 21)[:380], words(45, 22)
+    assert len(short.split()) > substrings.WORDS and len(short) >= substrings.SHORT
+    bodies = [f"{words(30, 31)} {short} {words(30, 32)}", f"{short} {words(80, 33)}", words(200, 34), f"{brief} {words(40, 35)}", f"{words(50, 36)} {brief}", f"{words(70, 37)} {short}", None, ""]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(bodies)]
+    got = {r.doc_id: (r.n_removed, r.n_passages) for r in substrings.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: (0, int(i in (0, 1, 5))) for i in range(len(bodies))}
+
+
+def test_members_of_different_labels_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    labels = [0] * 13 + [100, 100, 101, 102, 103, 104, 105, 106, 107, 108]
+    rows = [(7, 1, len(labels), i, c, 0, 13) for i, c in enumerate(labels)]
+    dealt = minhash._dealt(spark.createDataFrame(rows, "key long, band int, size long, id long, label long, most long, n_most long")).collect()
+    groups = {}
+    for r in dealt:
+        groups.setdefault((r.i, r.j), []).append(r)
+    met = {}
+    for (i, j), members in groups.items():
+        assert len(members) <= 23
+        for x in members:
+            for y in members:
+                if x.id < y.id and x.label != y.label and ({x.blk, y.blk} == {i, j} or (i == -1 and x.blk == y.blk == j)):
+                    met[x.id, y.id] = met.get((x.id, y.id), 0) + 1
+    assert met == {(x, y): 1 for x in range(23) for y in range(x + 1, 23) if labels[x] != labels[y]}
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "DOCS_PER_LANGUAGE", 20)
+    monkeypatch.setattr(langid, "MAX_CHARS", 50)
+    rows = [(i, f"text {i}", "en", "s", 1) for i in range(2000)] + [(5, "text 5", "en", "s", 1)] * 500 + [(i, "rare", "de", "s", 1) for i in range(8)] + [(9, "x" * 51, "de", "s", 1), (10, None, "de", "s", 1), (None, "no id", "de", "s", 1), (11, "no language", None, "s", 1)]
+    found = [(r.lang, r.text) for r in langid.sample(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sum(x == "en" for x, _ in found) == 20 and len(set(found)) <= len(found) and {t for x, t in found if x == "de"} == {"rare"}
