@@ -130,7 +130,8 @@ def list_runs(verdicts: DataFrame, contains: str = "", only: str | None = None,
     order = F.when(F.col("verdict") == "fail", 0).when(F.col("verdict") == "warn", 1).when(F.col("verdict") == "unverified", 2).otherwise(3)
     out = verdicts.where(F.contains(F.lower("run_id"), F.lit(contains.lower())))
     out = (out.where(F.col("verdict") == only) if only else out).withColumn("sort_key", order)
-    return out.orderBy("sort_key", "run_id").limit(limit) if limit else out
+    out = out.orderBy("sort_key", "run_id")
+    return out.limit(limit) if limit else out
 
 
 def qc_anomaly(runs: DataFrame, qc: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,17 +17,15 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\r?\n")
 
 
-def _fires(lines: Column, groups: list[list[str]]) -> Column:
+def _fires(low: Column, lines: Column, groups: list[list[str]]) -> Column:
+    """Lines that hold a needle of each group; most texts hold none at all, so they are searched whole first."""
     pattern = ["|".join(re.escape(n) for n in g) for g in groups]
+    some = [reduce(or_, [F.contains(low, F.lit(n)) for n in g]) for g in groups]
 
     def test(line):
-        low = F.lower(line)
-        out = low.rlike(pattern[0])
-        for p in pattern[1:]:
-            out = out & low.rlike(p)
-        return out
+        return reduce(and_, [F.lower(line).rlike(p) for p in pattern])
 
-    return F.filter(lines, test)
+    return F.when(reduce(and_, some), F.filter(lines, test)).otherwise(F.array().cast("array<string>"))
 
 
 def diagnose(logs: DataFrame, events: DataFrame | None = None, keys: list[str] | None = None, text: str = "log_text") -> DataFrame:
@@ -49,7 +49,7 @@ def diagnose(logs: DataFrame, events: DataFrame | None = None, keys: list[str] |
     last = F.filter(lines, lambda x: F.trim(x) != "")
     out = F.when(flag("__failed"), found("tool_crash", 0.4, F.slice(last, F.greatest(F.size(last), F.lit(1)), 1))).otherwise(found("unknown", 0.2, none))
     for cls, conf, groups in reversed(FAILURES):
-        hit = _fires(lines, groups)
+        hit = _fires(low, lines, groups)
         fires = F.size(hit) > 0
         if cls == "oom":
             fires = fires | flag("__oom")
@@ -121,10 +121,11 @@ def extract_claims(docs: DataFrame, keys: list[str] | None = None, text: str = "
     words = sorted(METRIC_WORDS, key=lambda w: (-len(w), w))
     word = "|".join(re.escape(w) for w in words)
     number = r"[-+]?[0-9]+(?:\.[0-9]+)?(?:e[-+]?[0-9]+)?"
-    pattern = rf"(?<![a-z0-9])({word})(?![a-z0-9])(?=([^0-9]{{0,40}}?)({number})(\s*%)?)"
-    low = F.lower(text)
-    parts = [F.regexp_extract_all(low, F.lit(pattern), F.lit(i)) for i in range(1, 5)]
-    rows = docs.select(*keys, F.posexplode(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("metric", "gap", "number", "unit"), strict=True)])).alias("pos", "m")).select(*keys, "pos", "m.*")
+    # a pass over the text finds each word with what follows, up to the number; the parts are taken from that
+    phrase = rf"(?:{word})(?![a-z0-9])[^0-9]{{0,40}}?{number}(?:\s*%)?"
+    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![a-z0-9])(?=({phrase}))(?:{word})(?![a-z0-9])"), F.lit(1))
+    part = lambda i: F.regexp_extract("found", rf"^({word})(?![a-z0-9])([^0-9]{{0,40}}?)({number})(\s*%)?", i)
+    rows = docs.select(*keys, F.posexplode(found).alias("pos", "found")).select(*keys, "pos", *[part(i).alias(n) for i, n in enumerate(("metric", "gap", "number", "unit"), 1)])
     tokens = "|".join(re.escape(c) if not c.isalpha() else rf"\b{c}\b" for c in CONNECTIVES)
     stop = "|".join(re.escape(x) for x in INEQUALITIES)
     ok = F.col("gap").rlike(tokens) & ~F.col("gap").rlike(rf"(?<![a-z0-9])({word})(?![a-z0-9])") & ~F.trim("gap").rlike(rf"({stop})$")

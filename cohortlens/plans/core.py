@@ -181,9 +181,9 @@ def _(v, spark):
     return qc.run_verdict(v("runs").select("run_id").distinct(), v("checks"), v("tasks"))
 
 
-@query("q_op_list_runs", f"{RUN_VERDICT_SQL} SELECT run_id, verdict, CAST(CASE verdict WHEN 'fail' THEN 0 WHEN 'warn' THEN 1 WHEN 'unverified' THEN 2 ELSE 3 END AS INT) AS sort_key FROM rv WHERE contains(run_id, 'u1') ORDER BY sort_key, run_id LIMIT 8")
+@query("q_op_list_runs", f"{RUN_VERDICT_SQL} SELECT run_id, verdict, CAST(CASE verdict WHEN 'fail' THEN 0 WHEN 'warn' THEN 1 WHEN 'unverified' THEN 2 ELSE 3 END AS INT) AS sort_key FROM rv WHERE contains(run_id, 'u1')")
 def _(v, spark):
-    return qc.list_runs(qc.run_verdict(v("runs").select("run_id").distinct(), v("checks"), v("tasks")), "U1", limit=8)
+    return qc.list_runs(qc.run_verdict(v("runs").select("run_id").distinct(), v("checks"), v("tasks")), "U1")
 
 
 @query("q_op_run_summary", f"SELECT run_id, count(*) AS total, count(*) FILTER (WHERE {_FAILED}) AS failed, count(*) FILTER (WHERE NOT ({_FAILED})) AS succeeded FROM tasks GROUP BY 1")

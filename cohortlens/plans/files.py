@@ -15,6 +15,8 @@ from .core import query, sites
 from .views import VIEWS
 
 _OWN: list[str] = []
+#: Files of a run that ``spread`` writes at least into, so that no task holds a whole run.
+FILES = 16
 
 
 def folder(spark) -> str:
@@ -34,6 +36,15 @@ def write(lines: DataFrame) -> str:
     return at
 
 
+def spread(df: DataFrame, header: list[str], columns: list, by: str, sep: str = "\t") -> str:
+    """Rows as several files for each run, each with a header line; rows of one ``by`` are in one file."""
+    at = folder(df.sparkSession)
+    cells = [F.coalesce(c.cast("string"), F.lit("-")).alias(h) for h, c in zip(header, columns, strict=True)]
+    rows = df.select(F.col("run_id").alias("run_id"), *cells, F.pmod(F.xxhash64(by), F.lit(FILES)).alias("__file"))
+    rows.repartition("run_id", "__file").drop("__file").write.partitionBy("run_id").csv(at, header=True, sep=sep, quote="", emptyValue="")
+    return at
+
+
 def tsv(df: DataFrame, header: list[str], columns: list, sep: str = "\t") -> str:
     """Rows with a header line at the top of each run's file."""
     top = df.select("run_id").distinct().select("run_id", F.lit(-1).cast("long").alias("n"), F.lit(sep.join(header)).alias("value"))
@@ -146,7 +157,7 @@ def _(v, spark):
     t = v("tasks")
     sec = F.round(F.col("realtime_sec") * 1000).cast("long")
     spent = F.concat((sec / 60000).cast("long"), F.lit("m "), ((sec % 60000) / 1000).cast("long"), F.lit("s "), sec % 1000, F.lit("ms"))
-    at = tsv(t, ["task_id", "name", "status", "exit", "realtime", "%cpu", "peak_rss"], [F.col("task_id"), F.col("process"), F.col("status"), F.col("exit_code"), spent, F.concat("pct_cpu", F.lit("%")), F.concat(F.col("peak_rss_mb") / 1024, F.lit(" GB"))])
+    at = spread(t, ["task_id", "name", "status", "exit", "realtime", "%cpu", "peak_rss"], [F.col("task_id"), F.col("process"), F.col("status"), F.col("exit_code"), spent, F.concat("pct_cpu", F.lit("%")), F.concat(F.col("peak_rss_mb") / 1024, F.lit(" GB"))], "task_id")
     r = readers.trace(spark, at)
     return r.groupBy("run_id").agg(F.count("*").alias("n"), F.count("exit_code").alias("with_exit"), F.round(F.sum("realtime_sec"), 2).alias("sec"), F.sum("peak_rss_mb").alias("mb"), F.sum("pct_cpu").alias("cpu"))
 
@@ -154,14 +165,14 @@ def _(v, spark):
 @query("q_src_count_matrix", "SELECT run_id, gene_id, count FROM counts_a")
 def _(v, spark):
     half = v("transcripts").select("run_id", F.col("transcript_id").alias("gene_id"), F.col("est_counts").alias("a"))
-    return readers.count_matrix(spark, tsv(half, ["gene_id", "name", "s1", "s2"], [F.col("gene_id"), F.lit("n"), F.col("a"), F.lit("x")])).select("run_id", "gene_id", "count")
+    return readers.count_matrix(spark, spread(half, ["gene_id", "name", "s1", "s2"], [F.col("gene_id"), F.lit("n"), F.col("a"), F.lit("x")], "gene_id")).select("run_id", "gene_id", "count")
 
 
 @query("q_src_kallisto", "SELECT run_id, gene_id, sum(est_counts) AS count FROM transcripts JOIN t2g USING (transcript_id) GROUP BY 1, 2")
 def _(v, spark):
     from ..operators import counts
 
-    at = tsv(v("transcripts"), ["target_id", "length", "est_counts", "tpm"], [F.col("transcript_id"), F.lit(1), F.col("est_counts"), F.lit(0)])
+    at = spread(v("transcripts"), ["target_id", "length", "est_counts", "tpm"], [F.col("transcript_id"), F.lit(1), F.col("est_counts"), F.lit(0)], "transcript_id")
     return counts.collapse_to_gene(readers.kallisto(spark, at), v("t2g"))
 
 
@@ -175,11 +186,11 @@ def _(v, spark):
     return readers.multiqc(spark, write(doc.select("run_id", F.lit(0).alias("n"), sections.alias("value"))))
 
 
-@query("q_src_samplesheet", "SELECT patient AS run_id, count(*) AS n, count(fastq_2) AS paired, count(*) FILTER (WHERE fastq_1 = '') AS empty_first FROM sheets WHERE CAST(patient AS BIGINT) < 100 GROUP BY 1")
+@query("q_src_samplesheet", "SELECT patient AS run_id, count(*) AS n, count(fastq_2) AS paired, count(*) FILTER (WHERE fastq_1 = '') AS empty_first FROM sheets GROUP BY 1")
 def _(v, spark):
-    s = v("sheets").where("cast(patient AS bigint) < 100").withColumn("run_id", F.col("patient"))
-    at = tsv(s, ["patient", "sample", "status", "fastq_1", "fastq_2"], [F.col(c) for c in ("patient", "sample", "status", "fastq_1", "fastq_2")], ",")
-    return readers.samplesheet(spark, at).groupBy("run_id").agg(F.count("*").alias("n"), F.count("fastq_2").alias("paired"), F.count_if(F.col("fastq_1").isNull()).alias("empty_first"))
+    s = v("sheets").withColumn("run_id", F.concat(F.lit("r"), F.pmod(F.col("patient").cast("long"), F.lit(20))))
+    at = spread(s, ["patient", "sample", "status", "fastq_1", "fastq_2"], [F.col(c) for c in ("patient", "sample", "status", "fastq_1", "fastq_2")], "patient", ",")
+    return readers.samplesheet(spark, at).groupBy(F.col("patient").alias("run_id")).agg(F.count("*").alias("n"), F.count("fastq_2").alias("paired"), F.count_if(F.col("fastq_1").isNull()).alias("empty_first"))
 
 
 @query("q_src_contigs", "SELECT DISTINCT run_id, name FROM gtf_names")

@@ -55,10 +55,10 @@ def _(v, spark):
     return runs.archive_integrity(v("htmls").mapInArrow(packed, "path string, content binary"))
 
 
-@query("q_op_reference_identity", """WITH p AS (SELECT 'r' || CAST(page_id % 20 AS STRING) AS run_id, path, sha256, page_id FROM artifacts WHERE page_id < 40)
+@query("q_op_reference_identity", """WITH p AS (SELECT 'r' || CAST(page_id % 20 AS STRING) AS run_id, path, sha256, page_id FROM artifacts)
 SELECT CAST(page_id AS VARCHAR) AS run_id, CASE page_id % 3 WHEN 0 THEN 'igenomes' WHEN 1 THEN 'explicit' ELSE 'none' END AS kind, CASE WHEN page_id % 3 = 0 THEN 'GRCh38' END AS genome, CASE WHEN page_id % 3 = 1 THEN sha256 END AS fasta_sha, CAST(NULL AS VARCHAR) AS gtf_sha FROM p""")
 def _(v, spark):
-    a = v("artifacts").where("page_id < 40").withColumn("run_id", F.col("page_id").cast("string"))
+    a = v("artifacts").withColumn("run_id", F.col("page_id").cast("string"))
     k = F.col("page_id") % 3
     parameters = a.select("run_id", F.when(k == 0, "GRCh38").alias("genome"), F.when(k == 1, F.col("path")).alias("fasta"), F.lit(None).cast("string").alias("gtf"))
     return runs.reference_identity(parameters, a)
@@ -127,11 +127,12 @@ def _(v, spark):
     return readers.cellranger(spark, write(s.select("run_id", F.lit(0).alias("n"), body.alias("value")))).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-@query("q_src_snakemake", "SELECT run_id, p AS process, 'COMPLETED' AS status, 0 AS exit_code FROM suppliers CROSS JOIN (VALUES ('align'), ('call')) t(p)")
+@query("q_src_snakemake", "SELECT DISTINCT run_id, process || '_' || (task_id % 9) AS process, 'COMPLETED' AS status, 0 AS exit_code FROM tasks")
 def _(v, spark):
-    s = v("suppliers")
-    body = F.lit('{"rules": {"align": {"mean": 1}, "call": {"mean": 2}}}')
-    return readers.snakemake(spark, write(s.select("run_id", F.lit(0).alias("n"), body.alias("value"))))
+    """Each run's rules with their mean run time, as a stats file."""
+    mean = v("tasks").withColumn("rule", F.concat_ws("_", "process", F.col("task_id") % 9)).groupBy("run_id", "rule").agg(F.avg("realtime_sec").alias("mean"))
+    rules = mean.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("rule", F.struct("mean")))).alias("rules"))
+    return readers.snakemake(spark, write(rules.select("run_id", F.lit(0).alias("n"), F.to_json(F.struct("rules")).alias("value"))))
 
 
 @query("q_src_quast", "SELECT run_id, 'b' || k AS bin, CAST(m * 1000 AS DOUBLE) AS n50 FROM suppliers")
@@ -144,12 +145,14 @@ def _(v, spark):
     return readers.checkm(spark, tsv(v("suppliers"), ["Bin Id", "Completeness", "Contamination"], [F.concat(F.lit("b"), "k"), F.col("m"), F.lit(1.5)]))
 
 
-@query("q_src_logs", "SELECT run_id, 'log ' || k || chr(10) || '2' || chr(10) || 'end' AS log_text FROM suppliers")
+@query("q_src_logs", """WITH e AS (SELECT run_id, list('exit ' || exit_code ORDER BY task_id) FILTER (WHERE exit_code <> 0) AS ends FROM tasks GROUP BY 1)
+SELECT t.run_id, string_agg(process || ' ' || task_id, chr(10) ORDER BY task_id) || coalesce(chr(10) || array_to_string(any_value(ends)[-3:], chr(10)), '') AS log_text FROM tasks t JOIN e USING (run_id) GROUP BY 1""")
 def _(v, spark):
-    s = v("suppliers")
-    main = write(s.select("run_id", F.lit(0).alias("n"), F.concat(F.lit("log "), "k").alias("value")))
-    errors = write(s.select("run_id", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.lit("1").alias("value")), F.struct(F.lit(1).alias("n"), F.lit("2").alias("value")), F.struct(F.lit(2).alias("n"), F.lit("end").alias("value")))).alias("e")).select("run_id", "e.*"))
-    return readers.logs(spark, main, errors, tail=3).select("run_id", F.rtrim(F.regexp_replace("log_text", "\n+", "\n"), F.lit("\n")).alias("log_text"))
+    """A line for each task in the run's log, and an error file of the exit codes, whose end of three lines is read."""
+    t = v("tasks").withColumn("n", F.col("task_id"))
+    main = write(t.select("run_id", "n", F.concat_ws(" ", "process", "task_id").alias("value")))
+    errors = write(t.where("exit_code <> 0").select("run_id", "n", F.concat(F.lit("exit "), "exit_code").alias("value")))
+    return readers.logs(spark, main, errors, tail=4).select("run_id", F.rtrim(F.regexp_replace("log_text", "\n+", "\n"), F.lit("\n")).alias("log_text"))
 
 
 @query("q_src_claims", "SELECT run_id, 'c' AS claim_id, CAST(m AS DOUBLE) AS claimed, CASE WHEN k % 2 = 0 THEN 0.5 ELSE 0.1 END AS tolerance FROM suppliers")
@@ -180,10 +183,12 @@ def _(v, spark):
     return readers.notifications(spark, at).select("run_id", "kind", "message")
 
 
-@query("q_w_claim_merge", "SELECT doc_id, 'x' || (doc_id % 3) AS metric, CAST(1 AS DOUBLE) AS value, CASE WHEN doc_id % 2 = 0 THEN 'core' ELSE 'extra' END AS src FROM claim_texts")
+@query("q_w_claim_merge")
 def _(v, spark):
-    d = v("claim_texts").select("doc_id", F.concat(F.lit("x"), F.col("doc_id") % 3).alias("metric"), F.lit(1.0).alias("value"))
-    return text.merge_claims(d.where("doc_id % 2 = 0").withColumn("src", F.lit("core")), d.withColumn("src", F.lit("extra")))
+    """Claims of the texts, of which a second extractor has found those without a unit too; tests compare it with brute force."""
+    found = text.extract_claims(v("claim_texts")).select("doc_id", "metric", "value", "unit")
+    core = found.where("unit IS NULL").drop("unit").withColumn("src", F.lit("core"))
+    return text.merge_claims(core, found.drop("unit").withColumn("src", F.lit("extra")))
 
 
 @query("q_fn_missing_module", "SELECT k, CASE WHEN k % 3 = 0 THEN 'mod' || k END AS module FROM suppliers")

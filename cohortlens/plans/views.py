@@ -83,11 +83,11 @@ _MARK = "@N"
 _SENTENCES = ["The AUC was 0.91 in test.", "accuracy of @N% reached", "F1 score: 0.@N here", "recall < 0.5 was seen", "Pearson correlation = 0.8@N overall", "nothing measured"]
 
 VIEWS |= {
-    "logs": f"SELECT 'd' || CAST(doc_id AS STRING) AS run_id, substr(text, 1, 200) || chr(10) || CASE doc_id % 19 {' '.join(f'WHEN {i} THEN {_q(n)}' for i, n in enumerate(_NEEDLES))} END || chr(10) || 'task ' || CAST(doc_id % 7 AS STRING) || ' at /tmp/run/' || CAST(doc_id AS STRING) AS log_text FROM documents",
+    "logs": f"SELECT 'd' || CAST(doc_id AS STRING) AS run_id, coalesce(text, '') || chr(10) || CASE doc_id % 19 {' '.join(f'WHEN {i} THEN {_q(n)}' for i, n in enumerate(_NEEDLES))} END || chr(10) || 'task ' || CAST(doc_id % 7 AS STRING) || ' at /tmp/run/' || CAST(doc_id AS STRING) AS log_text FROM documents",
     "log_events": "SELECT 'd' || CAST(doc_id AS STRING) AS run_id, CASE WHEN doc_id % 3 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status, CASE WHEN doc_id % 23 = 0 THEN 137 WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS exit_code FROM documents",
-    "goals": f"SELECT CAST(conv_id * 1000 + turn AS STRING) AS goal_id, CAST(conv_id AS STRING) AS sheet_id, substr(text, 1, 60) || ' ' || CASE conv_id % 9 {' '.join(f'WHEN {i} THEN {_q(g)}' for i, g in enumerate(_GOALS))} ELSE 'hello' END AS goal FROM conversations",
+    "goals": f"SELECT CAST(conv_id * 1000 + turn AS STRING) AS goal_id, CAST(conv_id AS STRING) AS sheet_id, coalesce(text, '') || ' ' || CASE conv_id % 9 {' '.join(f'WHEN {i} THEN {_q(g)}' for i, g in enumerate(_GOALS))} ELSE 'hello' END AS goal FROM conversations",
     "sheets": "SELECT CAST(o_custkey AS STRING) AS sheet_id, 'S' || CAST(o_orderkey % 3 AS STRING) AS sample, CASE WHEN o_orderkey % 41 = 0 THEN '' ELSE 'f' || CAST(o_orderkey % 1000 AS STRING) || '.fq' END AS fastq_1, CASE WHEN o_custkey % 3 = 0 OR o_orderkey % 2 = 0 THEN 'x.fq' ELSE NULL END AS fastq_2, CASE WHEN o_orderkey % 50 = 0 THEN '2' WHEN o_totalprice > 300000 THEN '0' ELSE '1' END AS status, CAST(o_custkey AS STRING) AS patient FROM orders",
-    "claim_texts": f"SELECT doc_id, 'Intro text. ' || CASE doc_id % 6 {' '.join(f'WHEN {i} THEN replace({_q(s)}, {_q(_MARK)}, CAST(doc_id % 5 + 1 AS STRING))' for i, s in enumerate(_SENTENCES))} END || ' End.' AS text FROM documents",
+    "claim_texts": f"SELECT doc_id, coalesce(text, '') || ' ' || CASE doc_id % 6 {' '.join(f'WHEN {i} THEN replace({_q(s)}, {_q(_MARK)}, CAST(doc_id % 5 + 1 AS STRING))' for i, s in enumerate(_SENTENCES))} END || ' End.' AS text FROM documents",
     "cases": "SELECT CAST(l.doc_id AS STRING) AS case_id, CASE WHEN quality = 0 THEN 'junk' WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS expected, CASE WHEN length(text) < 300 THEN 'junk' WHEN l.doc_id % 11 = 0 THEN 'toxic' ELSE 'clean' END AS predicted, CASE WHEN l.doc_id % 2 = 0 THEN 'pending:auto' ELSE 'user:report' END AS source FROM labels l JOIN documents d ON l.doc_id = d.doc_id",
     "family_status": "SELECT CAST(user_id AS STRING) AS case_id, event_type AS family, CASE WHEN max(value) > 300 THEN 'fail' WHEN max(value) > 150 THEN 'warn' ELSE 'pass' END AS status FROM events GROUP BY user_id, event_type",
     "case_labels": "SELECT DISTINCT CAST(user_id AS STRING) AS case_id, CASE WHEN user_id % 5 = 0 THEN NULL WHEN user_id % 2 = 0 THEN 'fail' ELSE 'warn' END AS label FROM events",

@@ -1,15 +1,21 @@
 """Hand-made edge rows: bands, genotypes, claims, archives and live runs."""
 
 import gzip
+import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalars as S
+from cohortlens.functions import tables
 from cohortlens.operators import corpus, counts, qc, references, runs, text, variants
+from cohortlens.plans import catalog, views
 from cohortlens.sources import readers
 from cohortlens.streaming import streams
 
+SF = "/root/testdata/sf0.001"
+
 
 def one(spark, column, **values):
     df = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()]) if values else spark.range(1)
@@ -155,3 +161,49 @@ def test_capture_appends_once(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", "fail")]
+
+
+def claims_by_hand(text):
+    """(slug, value, unit) in order of appearance, by walking over the words of the text."""
+    low, out, at = (text or "").lower(), [], 0
+    words = sorted(tables.METRIC_WORDS, key=lambda w: (-len(w), w))
+    alone = lambda i, j: not (low[i - 1 : i].isascii() and low[i - 1 : i].isalnum()) and not (low[j : j + 1].isascii() and low[j : j + 1].isalnum())
+    holds = lambda s: any(w in s and any(not re.match("[a-z0-9]", s[i - 1 : i] or " ") and not re.match("[a-z0-9]", s[i + len(w) : i + len(w) + 1] or " ") for i in range(len(s)) if s.startswith(w, i)) for w in words)
+    while at < len(low):
+        w = next((w for w in words if low.startswith(w, at) and alone(at, at + len(w))), None)
+        if w is None:
+            at += 1
+            continue
+        rest = low[at + len(w) :]
+        m = re.match(r"([^0-9]{0,40}?)([-+]?[0-9]+(?:\.[0-9]+)?(?:e[-+]?[0-9]+)?)(\s*%)?", rest)
+        at += len(w)
+        if not m:
+            continue
+        gap = m[1]
+        linked = any(re.search(rf"\b{c}\b", gap) if c.isalpha() else c in gap for c in tables.CONNECTIVES)
+        if linked and not holds(gap) and not any(gap.strip(" ").endswith(x) for x in tables.INEQUALITIES):
+            slug = re.sub("[^a-z0-9]+", "_", w.replace("²", "2"))
+            if (slug, float(m[2])) not in [x[:2] for x in out]:
+                out.append((slug, float(m[2]), "percent" if (m[3] or "").strip() == "%" else None))
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
+@pytest.mark.parametrize("name", ["q_op_extract_claims", "q_w_claim_merge"])
+def test_claims_of_whole_texts(spark, name):
+    """No twin can say these in SQL, so they are held against a walk over the same texts."""
+    texts = [(r.doc_id, r.text) for r in views.spark_view(spark, SF, "claim_texts").collect()]
+    got = sorted(tuple(r) for r in catalog.QUERIES[name](spark, SF).collect())
+    found = [(i, c) for i, t in texts for c in claims_by_hand(t)]
+    assert len(found) > 100
+    if name == "q_w_claim_merge":
+        assert got == sorted((i, s, v, "extra" if unit else "core") for i, (s, v, unit) in found)
+    else:
+        assert sorted(((r[0], r[2], r[3], r[4]) for r in got), key=repr) == sorted(((i, s, v, unit) for i, (s, v, unit) in found), key=repr)
+
+
+def test_claims_of_odd_texts(spark):
+    odd = ["AUC of 0.9, auc was 0.8 and AUC = 0.9", "recall <= 0.5 of 3", "accuracy of precision was 7 %", "f1 scorex is 3", "f1 score: -1e-3%", "xauc is 1", "R² = .5 and r² is 0.5", "a" * 5000 + " dice at 2", "", None, "log2 fold change of " + "x" * 38 + " 4", "iou reached 1.5.2"]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    got = sorted(((r.doc_id, r.metric, r.value, r.unit) for r in text.extract_claims(df).collect()), key=repr)
+    assert got == sorted(((i, *c) for i, t in enumerate(odd) for c in claims_by_hand(t)), key=repr) and len(got) > 6
