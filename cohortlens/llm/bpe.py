@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -11,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import chunks_of, ship
+from .base import chunks_of, frugal, ship
 
 #: Entries that a worker remembers of words it has encoded; only speed depends on it.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -24,20 +25,15 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
-class ByteBPE:
-    """One vocabulary: the library's byte-level splitter and merges, and the byte table for the way back."""
+class Bytes:
+    """The way back: the bytes of each id, by the byte table reversed over the vocabulary's pieces."""
 
     def __init__(self, json_path: str, ranks_path: str):
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(json_path)
-        tok.encode_special_tokens = True
-        self.tok, self.split, self.model = tok, tok.pre_tokenizer.pre_tokenize_str, tok.model.tokenize
+        with open(json_path, "rb") as f:
+            vocab = json.load(f)["model"]["vocab"]
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        to_char = byte_characters()
-        back = {c: b for b, c in to_char.items()}
-        vocab = tok.get_vocab(with_added_tokens=False)
+        back = {c: b for b, c in byte_characters().items()}
         #: id -> bytes; the ranks and the library's vocabulary name the same ids
         self.token_bytes = [b""] * (max(vocab.values()) + 1)
         for piece, i in vocab.items():
@@ -45,6 +41,26 @@ class ByteBPE:
             if raw in ranks and ranks[raw] != i:
                 raise ValueError(f"rank file and vocabulary disagree on {piece!r}")
             self.token_bytes[i] = raw
+
+    def decode(self, ids: bytes) -> bytes:
+        """The bytes of the ids; characters split over tokens come together again."""
+        table = self.token_bytes
+        try:
+            return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        except IndexError:
+            raise ValueError("an id is outside the vocabulary") from None
+
+
+class ByteBPE(Bytes):
+    """One vocabulary both ways: the library's byte-level splitter and merges besides."""
+
+    def __init__(self, json_path: str, ranks_path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(json_path, ranks_path)
+        tok = Tokenizer.from_file(json_path)
+        tok.encode_special_tokens = True
+        self.tok, self.split, self.model = tok, tok.pre_tokenizer.pre_tokenize_str, tok.model.tokenize
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -88,14 +104,6 @@ class ByteBPE:
             begin = i + 1
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes of the ids; characters split over tokens come together again."""
-        table = self.token_bytes
-        try:
-            return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
-        except IndexError:
-            raise ValueError("an id is outside the vocabulary") from None
-
     def offsets(self, ids: bytes, text: str) -> tuple[list[int], list[int]]:
         """First byte of each token, and the character that this byte belongs to."""
         sizes = np.array([len(self.token_bytes[i]) for i in np.frombuffer(ids, "<u4").tolist()], np.int64)
@@ -110,15 +118,20 @@ def load(json_path: str, ranks_path: str) -> ByteBPE:
     return ByteBPE(json_path, ranks_path)
 
 
+@lru_cache(maxsize=4)
+def load_bytes(json_path: str, ranks_path: str) -> Bytes:
+    return Bytes(json_path, ranks_path)
+
+
 def vocabulary_paths() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _mapped(df: DataFrame, columns: list[str], added: list[tuple[str, T.DataType]], work) -> DataFrame:
-    """``work(*columns)`` over slices of each Arrow batch; its lists become the added columns."""
-    keep = [c for c in df.columns if c not in {n for n, _ in added}]
+def _mapped(df: DataFrame, columns: list[str], added: list[tuple[str, T.DataType]], work, drop: list[str] = ()) -> DataFrame:
+    """``work(*columns)`` over slices of each Arrow batch; its lists become the added columns, ``drop`` goes."""
+    keep = [c for c in df.columns if c not in {n for n, _ in added} and c not in drop]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, t) for n, t in added])
     arrow = {T.BinaryType(): pa.binary(), T.LongType(): pa.int64(), T.ArrayType(T.LongType()): pa.list_(pa.int64())}
     kinds = [(n, arrow[t]) for n, t in added]
@@ -135,7 +148,7 @@ def _mapped(df: DataFrame, columns: list[str], added: list[tuple[str, T.DataType
                 )
 
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", offsets: bool = False, paths: tuple[str, str] | None = None) -> DataFrame:
@@ -163,12 +176,22 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", offsets:
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", paths: tuple[str, str] | None = None) -> DataFrame:
     """``df`` with ``out_col`` (binary), the bytes of ``ids_col``; null ids give no bytes, unknown ids an error."""
     paths = paths or vocabulary_paths()
-    return _mapped(df, [ids_col], [(out_col, T.BinaryType())], lambda ids: [[load(*paths).decode(i or b"") for i in ids]])
+    return _mapped(df, [ids_col], [(out_col, T.BinaryType())], lambda ids: [[load_bytes(*paths).decode(i or b"") for i in ids]])
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256 of the round trip, and with keep_ids the ids."""
-    both = decode(encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).drop("text"))
+    """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256 of the round trip, and with keep_ids the ids.
+
+    Ids are decoded where they are made: ``decode(encode(df))`` gives the same with twice the Python workers.
+    """
+    paths = vocabulary_paths()
+
+    def work(texts):
+        bpe = load(*paths)
+        ids = [bpe.encode(t or "") for t in texts]
+        return [ids, [bpe.decode(i) for i in ids]]
+
+    both = _mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["text"], [("ids", T.BinaryType()), ("decoded", T.BinaryType())], work, drop=["text"])
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
