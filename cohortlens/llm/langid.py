@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -9,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import _powers, chunks_of, mix64, ship
+from .base import _powers, chunks_of, frugal, mix64, ship
 
-DOCS_PER_LANGUAGE = 1500  # bound of the training sample
+DOCS_PER_LANGUAGE = 1500  # bounds of the training sample: documents, characters of one, and languages (the most frequent)
+MAX_CHARS = 20_000
+LANGUAGES = 200
 ROUNDS = 4  # of expectation maximisation
 SMOOTH = 0.05  # added to each piece's expected count
+SLICE = 500_000  # characters of texts that a worker scores together
 LONGEST = 32  # letters of a word; a longer run of letters is scored in stretches of this length
 _MARK = "▁"
 
@@ -167,36 +171,66 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def train(samples: dict[str, list[str]], path: str | None = None) -> tuple[list[str], np.ndarray]:
-    """Languages, and the probability of each piece (rows) in each (columns)."""
-    v = load(path or vocabulary_path())
-    names, columns = sorted(samples), []
-    for name in names:
-        buf, start, size, _ = v.words(samples[name])
-        p = np.full(len(v.pieces) + 1, 1.0 / (len(v.pieces) + 1))
+def count_words(v: Vocabulary, texts: list) -> Counter:
+    """How often each word stands in the texts, which are worked on in slices of bounded size."""
+    out: Counter = Counter()
+    for i, j in chunks_of(texts, SLICE):
+        buf, start, size, _ = v.words(texts[i:j])
         if len(start):
             first, _, count = v.unique(buf, start, size)
-            for _ in range(ROUNDS):
-                c = v.expect(buf, start[first], size[first], count.astype(float), p) + SMOOTH
-                p = c / c.sum()
-        columns.append(p)
-    return names, np.stack(columns, 1) if columns else np.zeros((len(v.pieces) + 1, 0))
+            for k, c in zip(first.tolist(), count.tolist(), strict=True):
+                out[buf[start[k] : start[k] + size[k]].astype(np.uint32).tobytes()] += c
+    return out
+
+
+def train(counts: Counter, path: str | None = None) -> np.ndarray:
+    """The probability of each piece in one language, by expectation maximisation over its counted words."""
+    v = load(path or vocabulary_path())
+    p = np.full(len(v.pieces) + 1, 1.0 / (len(v.pieces) + 1))
+    if counts:
+        words = sorted(counts, key=lambda w: (-len(w), w))
+        size = np.array([len(w) // 4 for w in words])
+        start = np.r_[0, np.cumsum(size)[:-1]]
+        buf = np.frombuffer(b"".join(words), np.uint32).astype(np.uint64)
+        weight = np.array([counts[w] for w in words], float)
+        for _ in range(ROUNDS):
+            c = v.expect(buf, start, size, weight, p) + SMOOTH
+            p = c / c.sum()
+    return p
+
+
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, text) of at most DOCS_PER_LANGUAGE documents of each language, those of a share of xxhash64(id), then the first by md5.
+
+    Only ids with a crc32(id) mod 4 other than 2, a language and a text of at most MAX_CHARS characters are
+    learned from, and of a repeated id one text, so the sample has a bound in bytes. Counts of distinct ids set that
+    share, so that the sort only sees about twice the sample and not the language.
+    """
+    usable = docs.where((F.length(text_col) <= MAX_CHARS) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 4 != 2))
+    rows = usable.select(F.col(lang_col).alias("__lang"), F.col(id_col).cast("string").alias("__id"), F.col(text_col).alias("__text"))
+    totals = rows.groupBy("__lang").agg(F.approx_count_distinct("__id").alias("__total"))
+    wanted = F.broadcast(totals.orderBy(F.desc("__total"), "__lang").limit(LANGUAGES))
+    some = rows.join(wanted, "__lang").where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) * F.col("__total") <= F.lit(float(2 * DOCS_PER_LANGUAGE) * (1 << 20)))
+    one = some.groupBy("__lang", "__id").agg(F.min("__text").alias("__text"))
+    order = Window.partitionBy("__lang").orderBy(F.md5("__id"), "__id")
+    return one.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= DOCS_PER_LANGUAGE).select(F.col("__lang").alias("lang"), F.col("__text").alias("text"))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Train on at most DOCS_PER_LANGUAGE documents of each language, the first by md5 of the id.
+    """Languages, and the probability of each piece (rows) in each (columns), learned from ``sample``.
 
-    Only documents with a text, a language and a crc32(id) mod 4 other than 2 are learned from.
+    Each language is a task of its own; the driver gets one row of numbers from each, of the vocabulary's size.
     """
-    usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 4 != 2))
-    order = Window.partitionBy("__lang").orderBy(F.md5(F.col("__id").cast("string")), "__id")
-    picked = usable.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= DOCS_PER_LANGUAGE)
-    picked = picked.select("__id", "__lang").distinct()
-    rows = usable.join(F.broadcast(picked), (F.col(id_col) == F.col("__id")) & (F.col(lang_col) == F.col("__lang"))).select("__lang", F.col(text_col).alias("text")).orderBy("__lang", F.md5("text")).collect()
-    samples: dict[str, list[str]] = {}
-    for r in rows:
-        samples.setdefault(r["__lang"], []).append(r["text"])
-    return train(samples)
+    ship(docs.sparkSession)
+    path = vocabulary_path()
+
+    def learn(key, t):
+        p = train(count_words(load(path), t.column("text").to_pylist()), path)
+        return pa.table({"lang": [key[0].as_py()], "p": pa.array([p.tobytes()], pa.binary())})
+
+    found = {r["lang"]: np.frombuffer(r["p"]) for r in sample(docs, id_col, text_col, lang_col).groupBy("lang").applyInArrow(learn, "lang string, p binary").collect()}
+    names = sorted(found)
+    return names, np.stack([found[n] for n in names], 1) if names else np.zeros((1, 0))
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -217,7 +251,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
         v = load(path)
         for b in batches:
             texts = b.column(text_col).to_pylist()
-            for i, j in chunks_of(texts):
+            for i, j in chunks_of(texts, SLICE):
                 buf, start, size, text = v.words(texts[i:j])
                 total = np.zeros((j - i, max(1, len(names))))
                 known = np.zeros(j - i, bool)
@@ -234,4 +268,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(label, pa.string()), pa.array(np.where(known, share, 0.0))], names=[*keep, "lang_pred", "score"])
 
     schema = docs.select(*keep).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
