@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import ship, stage
+from .base import frugal, ship, stage
 
 TABLES = 4
 PROBES = 24  # nearest signed axes that a query looks under, of twice the padded dimensions
@@ -100,7 +100,7 @@ def nearest(
             yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in v], pa.int64()), b.column("id"), pa.array([np.array(x, float).tobytes() for x in v], pa.binary())], names=["key", "id", "raw"])
 
     shape = "key long, id long, raw binary"
-    index = stage(kept.mapInArrow(hashed(False), shape), "ann_index")
+    index = stage(kept.mapInArrow(frugal(hashed(False)), shape), "ann_index")
     sizes = stage(index.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "ann_sizes")
 
     def dealt(indexed, wanted, sizes):
@@ -108,7 +108,7 @@ def nearest(
         rows = indexed.join(sizes, "key").select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("kind"), "id", "raw")
         return rows, wanted.join(sizes, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), "id", "raw")
 
-    rows, probes_ = dealt(index, asked.mapInArrow(hashed(True), shape), sizes)
+    rows, probes_ = dealt(index, asked.mapInArrow(frugal(hashed(True)), shape), sizes)
 
     def best(q, qid, x, xid):
         """The k best of x for each q; exact cosines."""
@@ -162,7 +162,7 @@ def nearest(
 
     def reranked(indexed, wanted):
         both = indexed.unionByName(wanted).repartition("key", "block").sortWithinPartitions("key", "block", "kind")
-        return both.mapInArrow(compare, shape_found)
+        return both.mapInArrow(frugal(compare), shape_found)
 
     def ranked(found):
         one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -171,7 +171,7 @@ def nearest(
     # Queries that found fewer than k: all rows of their length, which the index holds once in its first table.
     top = stage(ranked(reranked(rows, probes_)), "ann_found")
     enough = top.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))
-    short = stage(asked.join(enough, "id", "left_anti").mapInArrow(whole, shape), "ann_short")
+    short = stage(asked.join(enough, "id", "left_anti").mapInArrow(frugal(whole), shape), "ann_short")
     once = index.where(F.shiftright("key", 24).bitwiseAND(255) == 0).withColumn("key", F.shiftright("key", 32))
     sizes = stage(once.join(short.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "ann_short_sizes")
     rest = reranked(*dealt(once, short, sizes))

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import chunks_of, ship, stage
+from .base import chunks_of, frugal, ship, stage
 
 # Element names and class words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -180,7 +180,7 @@ def _parsed(pages: DataFrame, with_text: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [uid, *made], names=[*keep, "uid", *names])
 
     extra = "pieces array<struct<text:string,inside:array<bigint>>>" if with_text else "content long, subtrees array<long>, open array<long>"
-    return pages.mapInArrow(run, f"{kinds}, uid long, {extra}")
+    return pages.mapInArrow(frugal(run), f"{kinds}, uid long, {extra}")
 
 
 def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", text_col: str = "text", min_pages: int = 10, few_pages: int = 4, share: float = 0.5) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import chunks_of, mix64, ship, span_hashes, word_spans
+from .base import chunks_of, frugal, mix64, ship, span_hashes, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8  # words
@@ -240,4 +240,4 @@ def judge(docs: DataFrame, chain: Chain | None, text_col: str = "text") -> DataF
     for k in longs:
         out = out.withColumn(k, F.lit(0).cast("long"))
     schema = out.withColumn("base_failed", F.lit(True)).withColumn("content_share", F.lit(0.0)).withColumn("kept", F.lit(True)).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
