@@ -88,3 +88,25 @@ def annotation_identity(headers: DataFrame, keys: list[str] | None = None) -> Da
     cache = F.regexp_extract(line, r'cache=\"([^\"]*)\"', 1)
     rows = headers.withColumn("tool", tool).where(F.col("tool").isNotNull())
     return rows.groupBy(*keys, "tool").agg(F.min_by(F.struct(version.alias("version"), cache.alias("cache")), F.struct("path", "line")).alias("i")).select(*keys, "tool", "i.version", "i.cache")
+
+
+def corroboration_line(consequence: DataFrame, symbols: DataFrame, identity: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """One sentence for each run on how far two annotators agree; NULL where consequences could not be compared.
+
+    consequence and symbols are the results of the two concordances; identity (tool of each run) names the annotators.
+    """
+    keys = keys or ["run_id"]
+    side = lambda df, p: df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in ("matches", "shared", "agreement")])
+    df = side(consequence, "c").join(side(symbols, "s"), keys, "left")
+    names = F.lit(None).cast("string")
+    if identity is not None:
+        tools = identity.where(F.col("tool") != "").groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("tool")), " and ").alias("__names"))
+        df, names = df.join(tools, keys, "left"), F.col("__names")
+    # a share that lies halfway in binary too, an odd number of eighths, goes to the even hundredth
+    halfway = lambda c: F.when(F.col(c) * 8 == F.floor(F.col(c) * 8), F.bround(c, 2)).otherwise(F.col(c))
+    genes = F.format_string("; gene symbols %d/%d (%.2f, informational)", "s_matches", "s_shared", halfway("s_agreement"))
+    line = F.concat(
+        F.lit("Corroborated by "), F.coalesce(names, F.lit("the two annotators")), F.format_string(": %d/%d consequences agree (%.2f)", "c_matches", "c_shared", halfway("c_agreement")),
+        F.when(F.col("s_agreement").isNotNull(), genes).otherwise(""), F.lit("."),
+    )
+    return df.select(*keys, F.when(F.col("c_agreement").isNotNull(), line).alias("line"))

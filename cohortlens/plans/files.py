@@ -152,13 +152,17 @@ def _(v, spark):
     return variants.median_vaf(a.unionByName(b), check="strelka_median_vaf")
 
 
-@query("q_src_trace", "SELECT run_id, count(*) AS n, count(exit_code) AS with_exit, round(sum(realtime_sec), 2) AS sec, sum(peak_rss_mb) AS mb, sum(pct_cpu) AS cpu FROM tasks GROUP BY 1")
-def _(v, spark):
-    t = v("tasks")
+def traces(t: DataFrame) -> str:
+    """Task rows as trace files."""
     sec = F.round(F.col("realtime_sec") * 1000).cast("long")
     spent = F.concat((sec / 60000).cast("long"), F.lit("m "), ((sec % 60000) / 1000).cast("long"), F.lit("s "), sec % 1000, F.lit("ms"))
     at = spread(t, ["task_id", "name", "status", "exit", "realtime", "%cpu", "peak_rss"], [F.col("task_id"), F.col("process"), F.col("status"), F.col("exit_code"), spent, F.concat("pct_cpu", F.lit("%")), F.concat(F.col("peak_rss_mb") / 1024, F.lit(" GB"))], "task_id")
-    r = readers.trace(spark, at)
+    return at
+
+
+@query("q_src_trace", "SELECT run_id, count(*) AS n, count(exit_code) AS with_exit, round(sum(realtime_sec), 2) AS sec, sum(peak_rss_mb) AS mb, sum(pct_cpu) AS cpu FROM tasks GROUP BY 1")
+def _(v, spark):
+    r = readers.trace(spark, traces(v("tasks")))
     return r.groupBy("run_id").agg(F.count("*").alias("n"), F.count("exit_code").alias("with_exit"), F.round(F.sum("realtime_sec"), 2).alias("sec"), F.sum("peak_rss_mb").alias("mb"), F.sum("pct_cpu").alias("cpu"))
 
 

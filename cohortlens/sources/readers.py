@@ -18,10 +18,10 @@ def _text(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     return raw.select(run.alias("run_id"), file.alias("path"), F.col("_metadata.file_name").alias("file_name"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("id")).alias("line"), F.col("value"))
 
 
-def runs(spark: SparkSession, path: str) -> DataFrame:
-    """All run_record.json under a folder, sorted by id; annotation_identity as a list whatever old records hold."""
+def runs(spark: SparkSession, path: str, name: str = "run_record.json") -> DataFrame:
+    """All files of that name under a folder, sorted by id; annotation_identity as a list whatever old records hold."""
     schema = "run_id string, pipeline string, pipeline_revision string, assay string, status string, parameters variant, annotation_identity variant, input_checksums map<string,string>, output_checksums map<string,string>"
-    df = spark.read.schema(schema).json(path, multiLine=True, recursiveFileLookup=True, pathGlobFilter="run_record.json")
+    df = spark.read.schema(schema).json(path, multiLine=True, recursiveFileLookup=True, pathGlobFilter=name)
     kind = F.schema_of_variant("annotation_identity")
     as_list = F.when(F.col("annotation_identity").isNull() | (kind == "VOID"), F.array().cast("array<string>")).when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get("annotation_identity", "$", "array<string>")).otherwise(F.array(F.to_json("annotation_identity")))
     return df.withColumn("annotation_identity", as_list).orderBy("run_id")
