@@ -169,19 +169,28 @@ def source_kind(source: Column) -> Column:
     return F.split_part(source, F.lit(":"), F.lit(1))
 
 
-def normalized_log(text: Column) -> Column:
-    """Lower-cased with timestamps, paths, long hex and digits replaced, in that order; only salient lines if any."""
-    t = F.lower(text)
+def _plain(line: Column) -> Column:
+    """Timestamps, paths, long hex and digits replaced, in that order; none of them spans lines."""
     for pattern, mark in (
         (r"[0-9]{4}-[0-9]{2}-[0-9]{2}[t ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?z?", "<ts>"),
         (r"(/[a-z0-9_.\-]+)+", "<path>"),
         (r"\b[0-9a-f]{6,}\b", "<hash>"),
         (r"[0-9]+", "<n>"),
     ):
-        t = F.regexp_replace(t, pattern, mark)
-    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    salient = F.filter(lines, lambda x: x.rlike("|".join(SALIENT)))
-    return F.array_join(F.when(F.size(salient) > 0, salient).otherwise(lines), "\n")
+        line = F.regexp_replace(line, pattern, mark)
+    return F.trim(line)
+
+
+def normalized_log(text: Column) -> Column:
+    """Lower-cased lines without what differs between runs; only salient lines if any.
+
+    Replacing takes words away and makes none, so lines without a salient word are only rewritten if all are kept.
+    """
+    salient = "|".join(SALIENT)
+    lines = F.split(F.lower(text), "\n")
+    some = F.filter(F.transform(F.filter(lines, lambda x: x.rlike(salient)), _plain), lambda x: x.rlike(salient))
+    every = F.filter(F.transform(lines, _plain), lambda x: x != "")
+    return F.array_join(F.when(F.size(some) > 0, some).otherwise(every), "\n")
 
 
 def signature(text: Column) -> Column:
