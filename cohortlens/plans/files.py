@@ -29,10 +29,14 @@ def folder(spark) -> str:
     return f"{found.rstrip('/')}/files-{uuid.uuid4().hex}/runs"
 
 
-def write(lines: DataFrame) -> str:
-    """Lines (run_id, n, value) as one text file for each run, in order of n."""
-    at = folder(lines.sparkSession)
-    lines.repartition("run_id").sortWithinPartitions("run_id", "n").select("run_id", "value").write.partitionBy("run_id").text(at)
+def write(lines: DataFrame, extension: str = "txt", at: str | None = None) -> str:
+    """Lines (run_id, n, value) as one text file for each run, in order of n, in a new folder or added to one."""
+    at = at or folder(lines.sparkSession)
+    rows = lines.repartition("run_id").sortWithinPartitions("run_id", "n").select("run_id", "value").write.mode("append").partitionBy("run_id")
+    if extension == "txt":
+        rows.text(at)
+    else:  # text files take no extension; the separator stands in no line
+        rows.option("extension", extension).csv(at, sep="\x01", quote="", emptyValue="")
     return at
 
 

@@ -75,14 +75,19 @@ def _(v, spark):
 _MTX = "SELECT run_id, 'g' || (CAST(gene_id AS BIGINT) % 50) AS gene_id, sum(count) AS count FROM {x} GROUP BY 1, 2"
 
 
-def _mtx(df, spark):
-    """One matrix of 50 genes by 7 cells and one feature list for each run."""
+def _triplet_lines(df):
+    """Lines (run_id, n, value) of one matrix of 50 genes by 7 cells, and of one feature list, for each run."""
     t = df.select("run_id", (F.col("gene_id").cast("long") % 50 + 1).alias("i"), (F.pmod(F.xxhash64("gene_id"), F.lit(7)) + 1).alias("j"), "count")
     ids = t.select("run_id").distinct()
     head = ids.select("run_id", F.explode(F.array(F.struct(F.lit(-2).alias("n"), F.lit("%%MatrixMarket").alias("value")), F.struct(F.lit(-1).alias("n"), F.lit("50 7 9").alias("value")))).alias("h")).select("run_id", "h.*")
     body = t.select("run_id", F.lit(1).alias("n"), F.concat_ws(" ", "i", "j", "count").alias("value"))
     names = ids.select("run_id", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("n")).select("run_id", "n", F.format_string("g%d\tname", F.col("n") - 1).alias("value"))
-    return readers.mtx(spark, write(head.unionByName(body)), write(names))
+    return head.unionByName(body), names
+
+
+def _mtx(df, spark):
+    lines, names = _triplet_lines(df)
+    return readers.mtx(spark, write(lines), write(names))
 
 
 @query("q_src_mtx", _MTX.format(x="counts_a"))
@@ -90,6 +95,18 @@ def _(v, spark):
     return _mtx(v("counts_a"), spark)
 
 
+@query("q_src_sc_matrix", _MTX.format(x="counts_a"))
+def _(v, spark):
+    """Runs of even number leave triplets, the others dense tables."""
+    c = v("counts_a")
+    even = F.substring("run_id", 2, 9).cast("int") % 2 == 0
+    lines, names = _triplet_lines(c.where(even))
+    at = write(lines, "mtx")
+    dense = c.where(~even).select("run_id", F.lit(0).alias("n"), F.concat(F.lit("g"), F.col("gene_id").cast("long") % 50, F.lit("\t"), "count").alias("value"))
+    write(dense, "tsv", at)
+    return readers.sc_matrix(spark, at, write(names))
+
+
 @query("q_op_sc_count_concordance", f"""WITH a AS ({_MTX.format(x='counts_a')}), b AS ({_MTX.format(x='counts_b')}), j AS (SELECT run_id, a.count AS x, b.count AS y FROM a JOIN b USING (run_id, gene_id))
 SELECT run_id, CASE WHEN run_id <> 'r3' THEN count(*) END AS shared, CASE WHEN run_id = 'r3' THEN 'unverified' WHEN count(*) FILTER (WHERE abs(x - y) / greatest(x, y, 1) <= 0.1) / count(*) < 0.9 THEN 'warn' ELSE 'pass' END AS agree_status FROM j GROUP BY 1""")
 def _(v, spark):

@@ -11,7 +11,7 @@ from ..sources import readers, sinks
 from ..streaming import streams
 from . import more, texts  # noqa: F401  have views that are used here
 from .core import BAND, GT_SQL, RUN_VERDICT_SQL, VERDICTS_SQL, _FAILED, qc, query, sites
-from .files import _symbol_sql, _term_sql, folder, traces, write
+from .files import _symbol_sql, _term_sql, folder, spread, traces, write
 from .views import VIEWS
 
 
@@ -25,6 +25,54 @@ def _(v, spark):
     return v("calls_a").groupBy("run_id", "chrom", *[S.chrom_is(F.col("chrom"), c).alias(f"is_{c}") for c in "xy"]).agg(F.count("*").alias("n"))
 
 
+_SNV = "ref IN ('A', 'C', 'G', 'T') AND alt IN ('A', 'C', 'G', 'T')"
+VIEWS["alleles"] = "SELECT 'r' || CAST(l_suppkey % 10 AS STRING) AS run_id, substr('ACGTa', CAST(l_partkey % 5 AS INT) + 1, 1) AS ref, substr('ACGTN*', CAST(l_orderkey % 6 AS INT) + 1, CASE WHEN l_linenumber = 7 THEN 2 ELSE 1 END) AS alt FROM lineitem"
+
+
+@query("q_fn_transition", f"SELECT run_id, ref, alt, {_SNV} AS snv, ref || alt IN ('AG', 'GA', 'CT', 'TC') AS transition, count(*) AS n FROM alleles GROUP BY ALL")
+def _(v, spark):
+    """Equal alleles, lower case, other letters and longer alleles included."""
+    ref, alt = F.col("ref"), F.col("alt")
+    return v("alleles").groupBy("run_id", "ref", "alt", S.biallelic_snv(ref, alt).alias("snv"), S.transition(ref, alt).alias("transition")).agg(F.count("*").alias("n"))
+
+
+@query("q_fn_severity_rank", f"""WITH t AS (SELECT run_id, unnest(string_split(ann, ',')) AS t FROM ann_a), w AS (SELECT run_id, lower(trim(unnest(string_split(split_part(t, '|', 2), '&')))) AS term FROM t)
+SELECT run_id, term, coalesce(list_position({T.SEVERITY}, term) - 1, 1) AS severity, count(*) AS n FROM w WHERE term <> '' GROUP BY ALL""")
+def _(v, spark):
+    terms = v("ann_a").select("run_id", F.explode(S.variant_terms(F.col("ann"), F.lit(1))).alias("term"))
+    return terms.groupBy("run_id", "term", S.severity_rank(F.col("term")).alias("severity")).agg(F.count("*").alias("n"))
+
+
+VIEWS["bounds"] = "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS fb, CASE WHEN p_size % 3 = 0 THEN p_size + 0.5e0 END AS wb, CASE WHEN p_size % 5 = 0 THEN p_size + 100.25e0 END AS wa, CASE WHEN p_size % 7 = 0 THEN p_size + 200e0 END AS fa FROM part"
+
+
+@query("q_fn_expected_range", """WITH b AS (SELECT *, CAST(CAST(coalesce(wb, fb) AS DECIMAL(18, 2)) AS VARCHAR) AS lo, CAST(CAST(coalesce(wa, fa) AS DECIMAL(18, 2)) AS VARCHAR) AS hi FROM bounds)
+SELECT p_partkey, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN '[' || lo || ', ' || hi || ']' WHEN lo IS NOT NULL THEN '>= ' || lo WHEN hi IS NOT NULL THEN '<= ' || hi END AS expected, lo IS NULL AND hi IS NULL AS informational FROM b""")
+def _(v, spark):
+    edges = [F.col(c) for c in ("fb", "wb", "wa", "fa")]
+    return v("bounds").select("p_partkey", S.expected_range(*edges).alias("expected"), S.band_less(*edges).alias("informational"))
+
+
+@query("q_fn_duration_sec", """SELECT task_id, CASE WHEN task_id % 11 = 0 THEN 0.0 ELSE (task_id % 5) * 3600.0 + (task_id % 60) * 60.0 + (task_id % 40) / 4.0 END AS sec,
+CASE task_id % 6 WHEN 0 THEN (task_id % 90) / 1048576.0 WHEN 1 THEN (task_id % 90) / 1024.0 WHEN 2 THEN (task_id % 90) * 1.0 WHEN 3 THEN (task_id % 90) * 1024.0 WHEN 4 THEN (task_id % 90) * 1048576.0 ELSE 0.0 END AS mb, CASE WHEN task_id % 11 = 0 THEN 0.0 ELSE (task_id % 800) / 10.0 END AS cpu FROM tasks""")
+def _(v, spark):
+    """Durations, sizes and shares as a trace writes them, '-' where nothing was measured."""
+    i = F.col("task_id")
+    took = F.concat(i % 5, F.lit("h "), i % 60, F.lit("m "), (i % 40) / 4, F.lit("s"))
+    size = F.concat_ws(" ", (i % 90).cast("string"), F.get(F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB", "TB", "-")]), (i % 6).cast("int")))
+    share = F.concat((i % 800) / 10, F.lit("%"))
+    blank = lambda c: F.when(i % 11 == 0, "-").otherwise(c)
+    return v("tasks").select("task_id", S.duration_sec(blank(took)).alias("sec"), S.size_mb(size).alias("mb"), S.pct_cpu(blank(share)).alias("cpu"))
+
+
+@query("q_src_somatic_sheet", "SELECT patient, sample, status, nullif(fastq_1, '') AS fastq_1, fastq_2, 'auto' AS strandedness FROM sheets")
+def _(v, spark):
+    """Rows of somatic sheets: tumour and normal samples of a patient, empty cells as NULL."""
+    cells = ["patient", "sample", "status", "fastq_1", "fastq_2"]
+    s = v("sheets").withColumn("run_id", F.concat(F.lit("r"), F.pmod(F.col("patient").cast("long"), F.lit(20))))
+    return readers.samplesheet(spark, spread(s, cells, [F.col(c) for c in cells], "patient", ",")).select(*cells, "strandedness")
+
+
 @query("q_fn_vaf_mutect", "SELECT run_id, CASE WHEN vaf IS NOT NULL THEN q / 50 END AS vaf, count(*) AS n FROM vafs GROUP BY ALL")
 def _(v, spark):
     """Half of the records have a malformed AF, so AD and DP count; those without a share have a depth of 0."""

@@ -317,9 +317,9 @@ def _(v, spark):
 
 
 @query("q_op_samplesheet_validate", """SELECT sheet_id, sample AS "at", 'duplicate sample' AS issue FROM sheets WHERE sample <> '' GROUP BY 1, 2 HAVING count(*) > 1
-UNION SELECT sheet_id, sample, 'empty field' FROM sheets WHERE fastq_1 = '' UNION SELECT sheet_id, sample, 'missing file' FROM sheets WHERE fastq_1 <> '' AND fastq_1 NOT IN (SELECT 'f' || p_partkey || '.fq' FROM parts WHERE p_partkey < 950)""")
+UNION SELECT sheet_id, sample, 'empty field' FROM sheets WHERE fastq_1 = '' UNION SELECT sheet_id, sample, 'missing file' FROM sheets WHERE fastq_1 <> '' AND fastq_1 NOT IN (SELECT 'f' || p_partkey || '.fq' FROM parts WHERE p_size <> 7)""")
 def _(v, spark):
-    arts = v("parts").where("p_partkey < 950").select(F.concat(F.lit("f"), "p_partkey", F.lit(".fq")).alias("path"))
+    arts = v("parts").where("p_size <> 7").select(F.concat(F.lit("f"), "p_partkey", F.lit(".fq")).alias("path"))
     return runs.samplesheet_validate(v("sheets"), arts)
 
 

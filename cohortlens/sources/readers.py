@@ -107,19 +107,27 @@ def vcf_header(spark: SparkSession, path: str) -> DataFrame:
 
 def count_matrix(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """Gene counts: the sum of each row's numeric cells; rows without any (such as the header) go, repeated ids add up."""
+    return _dense(_text(spark, path), sep)
+
+
+def _dense(lines: DataFrame, sep: str = "\t") -> DataFrame:
     c = F.split("value", sep)
     values = F.filter(F.transform(_from(c, 2), lambda x: S.number(x)), lambda x: x.isNotNull())
-    rows = _text(spark, path).select("run_id", "path", F.trim(c[0]).alias("gene_id"), values.alias("v")).where(F.size("v") > 0)
+    rows = lines.select("run_id", "path", F.trim(c[0]).alias("gene_id"), values.alias("v")).where(F.size("v") > 0)
     return rows.groupBy("run_id", "path", "gene_id").agg(F.sum(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("count"))
 
 
 def mtx(spark: SparkSession, path: str, features: str) -> DataFrame:
     """MatrixMarket triplets as gene totals; the feature axis is the dimension as long as the feature list, a square matrix is refused."""
-    lines = _text(spark, path).where(~F.startswith("value", F.lit("%")) & (F.trim("value") != ""))
+    return _triplets(_text(spark, path), _text(spark, features))
+
+
+def _triplets(lines: DataFrame, features: DataFrame) -> DataFrame:
+    lines = lines.where(~F.startswith("value", F.lit("%")) & (F.trim("value") != ""))
     n = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.try_cast("double"))
     rows = lines.select("run_id", "path", "line", n.alias("n")).where(F.size("n") >= 3)
     top = rows.groupBy("path").agg(F.min_by("n", "line").alias("dims"), F.min("line").alias("top"))
-    names = _text(spark, features).select("run_id", "path", "line", F.split("value", "\t")[0].alias("gene_id"))
+    names = features.select("run_id", "path", "line", F.split("value", "\t")[0].alias("gene_id"))
     names = names.withColumn("idx", F.row_number().over(Window.partitionBy("run_id", "path").orderBy("line"))).drop("path", "line")
     size = names.groupBy("run_id").agg(F.max("idx").alias("n_features"))
     t = rows.join(top, "path").where("line > top").join(size, "run_id").where("dims[0] <> dims[1]")
@@ -127,6 +135,14 @@ def mtx(spark: SparkSession, path: str, features: str) -> DataFrame:
     return t.select("run_id", idx.alias("idx"), F.col("n")[2].alias("v")).join(names, ["run_id", "idx"]).groupBy("run_id", "gene_id").agg(F.sum("v").alias("count"))
 
 
+def sc_matrix(spark: SparkSession, path: str, features: str) -> DataFrame:
+    """Gene totals of single-cell matrices: files named .mtx or .mtx.gz are triplets, all others dense tables."""
+    lines = _text(spark, path)
+    sparse = F.col("file_name").rlike(r"\.mtx(\.gz)?$")
+    dense = _dense(lines.where(~sparse)).groupBy("run_id", "gene_id").agg(F.sum("count").alias("count"))
+    return _triplets(lines.where(sparse), _text(spark, features)).unionByName(dense)
+
+
 def multiqc(spark: SparkSession, path: str) -> DataFrame:
     """General statistics as long metrics; sections are a list or an object, a later section wins."""
     t = _text(spark, path, whole=True)

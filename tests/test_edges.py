@@ -207,3 +207,23 @@ def test_claims_of_odd_texts(spark):
     df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
     got = sorted(((r.doc_id, r.metric, r.value, r.unit) for r in text.extract_claims(df).collect()), key=repr)
     assert got == sorted(((i, *c) for i, t in enumerate(odd) for c in claims_by_hand(t)), key=repr) and len(got) > 6
+
+
+def test_single_cell_matrices_are_routed_by_name(spark, tmp_path):
+    feats = tmp_path / "f" / "runs"
+    data = tmp_path / "d" / "runs"
+    for run in ("a", "b", "c"):
+        (feats / run).mkdir(parents=True)
+        (data / run).mkdir(parents=True)
+        (feats / run / "features.tsv").write_text("g1\tx\ng2\ty\n")
+    (data / "a" / "m.mtx").write_text("%%MatrixMarket\n2 3 3\n1 1 4\n1 3 5\n2 2 1\n")
+    with gzip.open(data / "b" / "m.mtx.gz", "wt") as f:
+        f.write("%%MatrixMarket\n% note\n3 2 1\n3 2 7\n")
+    (data / "c" / "m.tsv").write_text("gene\tc1\tc2\ng1\t1\t2\ng1\t\t4\ng2\tx\ty\n")
+    got = readers.sc_matrix(spark, str(data), str(feats)).collect()
+    assert sorted((r.run_id, r.gene_id, r["count"]) for r in got) == [("a", "g1", 9.0), ("a", "g2", 1.0), ("b", "g2", 7.0), ("c", "g1", 7.0)]
+
+
+@pytest.mark.parametrize(("bounds", "want"), [((1.0, 2.0, 3.0, None), "[2.00, 3.00]"), ((1.0, None, None, None), ">= 1.00"), ((None, None, None, 9.5), "<= 9.50"), ((None,) * 4, None)])
+def test_expected_ranges(spark, bounds, want):
+    assert one(spark, S.expected_range(*[F.lit(b).cast("double") for b in bounds])) == want
