@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html, langid, lines, minhash, mixing, quality, substrings, toxicity
+from . import ann, bpe, html, langid, lines, minhash, mixing, quality, runs, substrings, toxicity
 from .base import table
 
 #: Production weights of the mix; names that aren't listed weigh 1.
@@ -71,6 +71,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("long")
+    n = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
+    made = docs.where(h % 10 == 0).withColumn("__n", n).withColumn("__a", F.when(F.col("__n") > 0, g % F.col("__n")))
+    made = made.withColumn("__p", F.lit(1) + F.floor((F.col("__n") - F.col("__a")) / (F.lit(3) + g % 8)).cast("long"))
+    made = made.select("doc_id", F.when(F.col("__n") > 0, runs.looped(F.col("text"), F.col("__a"), F.col("__p"))).alias("text"))
+    out = runs.collapse_runs(docs.where(F.coalesce(h % 10 != 0, F.lit(True))).unionByName(made))
+    top = runs.longest(F.col("runs"))
+    lines_ = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return out.withColumn("__top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("__top.start")).alias("start"), F.col("__top.length").alias("length"), (-F.col("__top.period")).alias("period"),
+        F.expr("1000 * __top.length div -__top.period").alias("exponent_milli"), F.sha2(F.array_join(lines_, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 WS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 OP10_SQL = f"""
@@ -139,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_word_runs": op11_word_runs,
 }
 
 ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op10_line_dedup": OP10_SQL}
