@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html, langid, lines, minhash, mixing, quality, runs, substrings, toxicity
+from . import ann, bpe, html, langid, lines, minhash, mixing, phrases, quality, runs, substrings, toxicity
 from .base import table
 
 #: Production weights of the mix; names that aren't listed weigh 1.
@@ -88,6 +88,10 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_setm_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 WS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 OP10_SQL = f"""
@@ -106,6 +110,45 @@ FROM marked GROUP BY doc_id
 """
 
 
+_GRAMS_SQL = "\n  UNION ALL ".join(
+    f"SELECT lang, {m} AS m, [{', '.join(f'w{i}' for i in range(1, m + 1))}] AS ws FROM ahead WHERE w{m} IS NOT NULL" for m in range(1, 6)
+)
+
+OP13_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (
+  SELECT rid, lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece,
+         generate_subscripts(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]'), 1) AS p FROM docs
+), words AS (
+  SELECT rid, p, lang, unnest(string_split_regex(piece, '[ \\t]+')) AS w, generate_subscripts(string_split_regex(piece, '[ \\t]+'), 1) AS i FROM pieces
+), ahead AS (
+  SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4, lead(w, 4) OVER o AS w5
+  FROM words WHERE w <> '' WINDOW o AS (PARTITION BY rid, p ORDER BY i)
+), totals AS (SELECT lang, count(*) AS n FROM ahead GROUP BY lang),
+f AS (
+  SELECT lang, m, ws, count(*) AS a FROM (
+  {_GRAMS_SQL}) GROUP BY lang, m, ws HAVING count(*) >= 100
+), cuts AS (
+  SELECT c.lang, c.m, c.ws, c.a, k.k, c.ws[1:k.k] AS lws, c.ws[k.k + 1:c.m] AS rws FROM f c JOIN (SELECT unnest([1, 2, 3, 4]) AS k) k ON k.k < c.m
+), scored AS (
+  SELECT c.lang, c.m, c.ws, c.a, c.k, x.a AS l, y.a AS r, t.n, (1000 * c.a::HUGEINT * t.n) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.ws = c.lws JOIN f y ON y.lang = c.lang AND y.ws = c.rws JOIN totals t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) AS o FROM scored) WHERE o = 1
+), shadowed AS (
+  SELECT lang, ws[1:m - 1] AS ws, max(a) AS longer FROM f WHERE m > 2 GROUP BY 1, 2
+  UNION ALL SELECT lang, ws[2:m] AS ws, max(a) AS longer FROM f WHERE m > 2 GROUP BY 1, 2
+), gone AS (SELECT lang, ws, max(longer) AS longer FROM shadowed GROUP BY lang, ws),
+kept AS (
+  SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, b.a, b.l, b.r, b.n, b.score::BIGINT AS score
+  FROM best b LEFT JOIN gone g ON g.lang = b.lang AND g.ws = b.ws WHERE g.longer IS NULL OR 100 * g.longer < 100 * b.a
+)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept) WHERE rank <= 2000
+"""
+
+
 def _weight_sql(name: str, kind: str) -> str:
     cases = " ".join(f"WHEN '{k}' THEN {w}" for k, w in MIX[kind].items())
     return f"(CASE {name} {cases} ELSE {MIX['default']} END)::DOUBLE"
@@ -157,6 +200,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op11_word_runs": op11_word_runs,
+    "op13_setm_phrases": op13_setm_phrases,
 }
 
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op10_line_dedup": OP10_SQL, "op13_setm_phrases": OP13_SQL}
