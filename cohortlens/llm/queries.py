@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html, langid, lines, minhash, mixing, phrases, quality, runs, substrings, toxicity
+from . import ann, bpe, html, langid, lines, minhash, mixing, phrases, pii, quality, runs, substrings, toxicity
 from .base import table
 
 #: Production weights of the mix; names that aren't listed weigh 1.
@@ -88,6 +88,13 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.find(docs, pii.fit(docs))
+    counts = [pii.count(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op13_setm_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
@@ -200,6 +207,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op11_word_runs": op11_word_runs,
+    "op12_skip_chain_pii": op12_skip_chain_pii,
     "op13_setm_phrases": op13_setm_phrases,
 }
 
