@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.tables import CHRX_LENGTH
 from ..operators.variants import SITE
+from . import archives
 
 
 def _text(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
@@ -258,11 +259,10 @@ def contigs(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return t.where(F.col("name") != "").distinct()
 
 
-def artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Files with size, time and checksum; contents stay on the executors."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def artifacts(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """Files under a folder with size, time and checksum; contents of any size are read on the executors and stay there."""
     run = F.coalesce(F.nullif(F.regexp_extract("path", r"/runs/(?:run_id=)?([^/]+)/", 1), F.lit("")), F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1))
-    return f.select(run.alias("run_id"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"))
+    return archives.digests(spark, path, suffix).select(run.alias("run_id"), "path", "size", "mtime", "sha256")
 
 
 def logs(spark: SparkSession, path: str, errors: str | None = None, most: int = 10, tail: int = 40) -> DataFrame:
