@@ -64,6 +64,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again, so that a long chain of them doesn't pile up."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if f"/llm-{_RUN}/" in path:
+                _remove(df.sparkSession, path)
+
+
 _STAGED: set[str] = set()
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import frugal, mix64, ship, stage
+from .base import frugal, mix64, ship, span_hashes, stage, unstage
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 SLICE_WORDS = 1 << 20
@@ -32,14 +32,18 @@ _LOWER[65:91] += 32
 
 
 def pack(a: np.ndarray) -> bytes:
-    """Numbers from 0 up in the narrowest unsigned type that holds them all, behind its width."""
+    """Numbers from 0 up in the narrowest type that holds them all, behind its width: all lowest bytes, then all second ones, and so on.
+
+    High bytes are mostly alike, so codecs of shuffles and files make little of them when they stand together.
+    """
     most = int(a.max()) if len(a) else 0
     width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
-    return bytes([width]) + a.astype(f"<u{width}").tobytes()
+    return bytes([width]) + a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
 def unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+    planes = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{b[0]}").ravel().astype(np.int64)
 
 
 def _windows(raw: bytes, size: int = WINDOW_BYTES):
@@ -76,7 +80,8 @@ def split_words(raw: bytes) -> tuple[pa.Array, np.ndarray]:
     return words, step
 
 
-SLICES = "slice long, lang string, n long, words array<binary>, counts binary, ids binary, step binary"
+#: Words are joined by spaces, which stand in none.
+SLICES = "slice long, lang string, n long, words binary, counts binary, ids binary, step binary"
 
 
 def _slices(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -96,7 +101,7 @@ def _slices(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 counts = np.bincount(ids, minlength=len(coded.dictionary))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([first + made]), pa.array([lang], pa.string()), pa.array([len(ids)]), pa.array([coded.dictionary.cast(pa.binary()).to_pylist()], pa.list_(pa.binary())),
+                        pa.array([first + made]), pa.array([lang], pa.string()), pa.array([len(ids)]), pa.array([b" ".join(coded.dictionary.to_pylist())], pa.binary()),
                         pa.array([pack(counts)], pa.binary()), pa.array([pack(ids)], pa.binary()), pa.array([pack(np.concatenate(steps))], pa.binary()),
                     ],
                     names=["slice", "lang", "n", "words", "counts", "ids", "step"],
@@ -145,31 +150,30 @@ def _spread(h: np.ndarray, groups: int):
         yield int(part[order[a]]), order[a:b]
 
 
-WORD_BLOCKS = "p long, slice long, lang string, idx binary, words array<binary>, counts binary"
+WORD_BLOCKS = "p long, slice long, lang string, idx binary, words binary, counts binary"
 #: Counted groups: rows with a slice tell it which of its candidates are frequent; those without are the groups.
-WORD_COUNTS = "slice long, idx binary, gid binary, lang string, words array<binary>, counts binary"
-
+WORD_COUNTS = "slice long, idx binary, gid binary, lang string, words binary, counts binary"
 
-def _hash_words(words: pa.Array) -> np.ndarray:
-    from .base import span_hashes
 
-    flat = words.cast(pa.large_binary())
-    at = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, flat.offset * 8)
-    return span_hashes(np.frombuffer(flat.buffers()[2], np.uint8, at[-1]), at[:-1], at[1:]) if len(flat) else np.zeros(0, np.uint64)
+def _hash_words(joined: bytes) -> np.ndarray:
+    buf = np.frombuffer(joined, np.uint8)
+    gaps = np.flatnonzero(buf == 0x20)
+    return span_hashes(buf, np.r_[0, gaps + 1], np.r_[gaps, len(buf)])
 
 
 def _word_blocks(slices: DataFrame, groups: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
-                words = b.column("words")[k].values
+                joined = b.column("words")[k].as_py()
+                words = np.array(joined.split(b" "), object)
                 counts = unpack(b.column("counts")[k].as_py())
-                out = [(p, m, words.take(pa.array(m)).to_pylist(), counts[m]) for p, m in _spread(_hash_words(words), groups)]
+                out = [(p, m, b" ".join(words[m]), counts[m]) for p, m in _spread(_hash_words(joined), groups)]
                 n = len(out)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([x[0] for x in out], pa.int64()), pa.array([b.column("slice")[k].as_py()] * n, pa.int64()), pa.array([b.column("lang")[k].as_py()] * n, pa.string()),
-                        pa.array([pack(x[1]) for x in out], pa.binary()), pa.array([x[2] for x in out], pa.list_(pa.binary())), pa.array([pack(x[3]) for x in out], pa.binary()),
+                        pa.array([pack(x[1]) for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary()), pa.array([pack(x[3]) for x in out], pa.binary()),
                     ],
                     names=["p", "slice", "lang", "idx", "words", "counts"],
                 )
@@ -183,7 +187,8 @@ def _count_words(blocks: DataFrame, groups: int, min_count: int) -> DataFrame:
         for lang in pc.unique(t.column("lang")).to_pylist():
             own = t.filter(pc.equal(t.column("lang"), lang))
             rows = [unpack(x) for x in own.column("counts").to_pylist()]
-            flat = pa.table({"w": pc.list_flatten(own.column("words")), "c": pa.array(np.concatenate(rows))})
+            words = [w for x in own.column("words").to_pylist() for w in x.split(b" ")]
+            flat = pa.table({"w": pa.array(words, pa.large_binary()), "c": pa.array(np.concatenate(rows))})
             total = flat.group_by("w").aggregate([("c", "sum")])
             total = total.filter(pc.greater_equal(total.column("c_sum"), min_count))
             gid = (made + np.arange(total.num_rows)) * groups + p + 1
@@ -198,8 +203,8 @@ def _count_words(blocks: DataFrame, groups: int, min_count: int) -> DataFrame:
                 hit = here >= 0
                 if hit.any():
                     out.append((s, pack(unpack(idx)[hit]), pack(gid[here[hit]]), None, None, None))
-            out.append((None, None, pack(gid), lang, total.column("w").to_pylist(), pack(total.column("c_sum").to_numpy())))
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.list_(pa.binary()), pa.binary()]
+            out.append((None, None, pack(gid), lang, b" ".join(total.column("w").to_pylist()), pack(total.column("c_sum").to_numpy())))
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.binary(), pa.binary()]
         names = ["slice", "idx", "gid", "lang", "words", "counts"]
         return pa.table([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=names)
 
@@ -217,17 +222,17 @@ def _relation(rows: list[tuple]) -> pa.Table:
     return _table(rows, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], ["slice", "n", "gid", "next", "step"])
 
 
-def _shown(s: int, keep: np.ndarray, gid: np.ndarray, following: np.ndarray, step: np.ndarray) -> pa.Table:
+def _shown(s: int, keep: np.ndarray, gid: np.ndarray, following: np.ndarray | None, step: np.ndarray) -> pa.Table:
     """A slice of the next relation: the occurrences that stay, with the step from the one before that stays."""
     at = np.flatnonzero(keep)
     if not len(at):
         return _relation([])
     beside = np.r_[False, (np.diff(at) == 1) & (step[at[1:]] == 1)]
-    return _relation([(s, len(at), pack(gid[at]), pack(following[at]), pack(np.where(beside, 1, 2)))])
+    return _relation([(s, len(at), pack(gid[at]), None if following is None else pack(following[at]), pack(np.where(beside, 1, 2)))])
 
 
 def _frequent_words(slices: DataFrame, counted: DataFrame) -> DataFrame:
-    """The relation of length 1: occurrences of frequent words, each with the word that follows it in its piece."""
+    """The relation of length 1: occurrences of frequent words. Longer ones also have the word that follows."""
 
     def run(left, right):
         if not left.num_rows or not right.num_rows:
@@ -237,24 +242,25 @@ def _frequent_words(slices: DataFrame, counted: DataFrame) -> DataFrame:
         for idx, gid in zip(right.column("idx").to_pylist(), right.column("gid").to_pylist()):
             number[unpack(idx)] = unpack(gid)
         gid = number[coded]
-        following = np.r_[np.where(step[1:] == 1, gid[1:], 0), 0]
-        return _shown(left.column("slice")[0].as_py(), gid > 0, gid, following, step)
+        return _shown(left.column("slice")[0].as_py(), gid > 0, gid, None, step)
 
     back = counted.where(F.col("slice").isNotNull()).select("slice", "idx", "gid")
     return slices.select("slice", "ids", "step").groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(run, RELATION)
 
 
-def _joined(gid: bytes, following: bytes, step: bytes) -> tuple[np.ndarray, ...]:
+def _joined(gid: bytes, following: bytes | None, step: bytes) -> tuple[np.ndarray, ...]:
     """The merge join with the words at the next position: phrase, word, word after that, place in the relation.
 
     An extension needs the phrase at the next position to be frequent too, so it stands in the relation, one step
     away, and knows the word after.
     """
-    g, w, s = unpack(gid), unpack(following), unpack(step)
+    g, s = unpack(gid), unpack(step)
+    w = np.r_[np.where(s[1:] == 1, g[1:], 0), 0] if following is None else unpack(following)
     at = np.flatnonzero((w[:-1] > 0) & (s[1:] == 1))
     return g[at], w[at], w[at + 1], at, s
 
 
+#: Candidates come sorted, so of g the differences are kept.
 BLOCKS = "p long, slice long, g binary, w binary, counts binary"
 COUNTS = "slice long, g binary, w binary, gid binary, counts binary"
 
@@ -267,7 +273,7 @@ def _blocks(relation: DataFrame, groups: int) -> DataFrame:
                 _, at, counts = _sum(_pairs(g, w), np.ones(len(g), np.int64))
                 g, w = g[at], w[at]
                 h = mix64(mix64(g.astype(np.uint64)) + w.astype(np.uint64))
-                out = [(p, b.column("slice")[k].as_py(), pack(g[m]), pack(w[m]), pack(counts[m])) for p, m in _spread(h, groups)]
+                out = [(p, b.column("slice")[k].as_py(), pack(np.diff(g[m], prepend=0)), pack(w[m]), pack(counts[m])) for p, m in _spread(h, groups)]
                 kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
                 yield from _table(out, kinds, ["p", "slice", "g", "w", "counts"]).to_batches()
 
@@ -278,6 +284,7 @@ def _count(blocks: DataFrame, groups: int, min_count: int) -> DataFrame:
     def run(key, t):
         p, out = key[0].as_py(), []
         g, w, c = ([unpack(x) for x in t.column(name).to_pylist()] for name in ("g", "w", "counts"))
+        g = [np.cumsum(x) for x in g]
         size = [len(x) for x in c]
         ga, wa = np.concatenate(g), np.concatenate(w)
         key_ = _pairs(ga, wa)
@@ -325,10 +332,10 @@ def _words_of(counted: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
-                words = b.column("words")[k].values
+                words = [w.decode("utf-8", "surrogatepass") for w in b.column("words")[k].as_py().split(b" ")]
                 gid = pa.array(unpack(b.column("gid")[k].as_py()))
                 n = len(gid)
-                yield pa.RecordBatch.from_arrays([gid, pa.array([b.column("lang")[k].as_py()] * n, pa.string()), pc.cast(words, pa.string()), pa.array(unpack(b.column("counts")[k].as_py()))], names=["gid", "lang", "phrase", "a"])
+                yield pa.RecordBatch.from_arrays([gid, pa.array([b.column("lang")[k].as_py()] * n, pa.string()), pa.array(words, pa.string()), pa.array(unpack(b.column("counts")[k].as_py()))], names=["gid", "lang", "phrase", "a"])
 
     found = counted.where(F.col("slice").isNull()).select("gid", "lang", "words", "counts")
     return found.mapInArrow(run, "gid long, lang string, phrase string, a long").withColumn("ids", F.array("gid"))
@@ -363,6 +370,8 @@ def frequent_phrases(
     counted = stage(_count_words(_word_blocks(slices, k), k, min_count), "phrase_words")
     words = stage(_words_of(counted), "phrase_found1")
     relation = stage(_frequent_words(slices, counted), "phrase_relation1")
+    totals = stage(slices.groupBy("lang").agg(F.sum("n").alias("n")), "phrase_totals")
+    unstage(slices, counted)
     out = [words]
     for size in range(2, max_words + 1):
         k = groups(relation)
@@ -372,11 +381,13 @@ def frequent_phrases(
         made = _groups_of(counted).join(before, "g").join(last, "w")
         out.append(stage(made.select("gid", "lang", F.concat("__phrase", F.lit(" "), "__word").alias("phrase"), "a", F.concat("__ids", F.array("w")).alias("ids")), f"phrase_found{size}"))
         if size < max_words:
-            relation = stage(_extend(relation, counted), f"phrase_relation{size}")
+            longer = stage(_extend(relation, counted), f"phrase_relation{size}")
+            unstage(relation, counted)
+            relation = longer
     every = out[0]
     for x in out[1:]:
         every = every.unionByName(x)
-    return every.select("lang", "phrase", "ids", "a"), slices.groupBy("lang").agg(F.sum("n").alias("n"))
+    return every.select("lang", "phrase", "ids", "a"), totals
 
 
 def collocations(
