@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import annotations, variants
 from ..sources import readers
-from ..streaming import streams
+from ..streaming import live, streams
 from .core import query, sites
 from .views import VIEWS
 
@@ -233,13 +233,46 @@ def _(v, spark):
 VIEWS["heartbeats"] = "SELECT 'u' || CAST(user_id % 40 AS STRING) AS run_id, ts, CAST(floor(event_id / 300) AS BIGINT) AS size, user_id % 40 % 3 AS mtime, CAST(1 AS BIGINT) AS n_files FROM events"
 
 
-@query("q_st_stall", """WITH m AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR size IS DISTINCT FROM lag(size) OVER w OR mtime IS DISTINCT FROM lag(mtime) OVER w THEN ts END AS since FROM heartbeats WINDOW w AS (PARTITION BY run_id ORDER BY ts, size, mtime)),
+def arrivals(df: DataFrame, n: int = 3, late_sec: int = 7200) -> list[DataFrame]:
+    """Rows in n parts by when they arrive, up to ``late_sec`` after their time, so that parts overlap in time."""
+    at = F.unix_timestamp(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("ts"), F.lit(late_sec))
+    lo, hi = df.agg(F.min(at), F.max(at)).first()
+    part = F.floor((at - lo) * n / (hi - lo + 1)) if lo is not None else F.lit(0)
+    return [df.where(part == k) for k in range(n)]
+
+
+_STALL_SQL = """WITH m AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR size IS DISTINCT FROM lag(size) OVER w OR mtime IS DISTINCT FROM lag(mtime) OVER w THEN ts END AS since FROM heartbeats WINDOW w AS (PARTITION BY run_id ORDER BY ts, size, mtime)),
 l AS (SELECT run_id, ts, greatest(0, date_diff('microsecond', max(since) OVER (PARTITION BY run_id ORDER BY ts, size, mtime ROWS UNBOUNDED PRECEDING), ts) / 1000000) AS idle_sec FROM m)
-SELECT run_id, ts, idle_sec, idle_sec >= 36000 AS stalled FROM l""")
+SELECT run_id, ts, idle_sec, idle_sec >= 36000 AS stalled FROM l"""
+
+
+@query("q_st_stall", _STALL_SQL)
 def _(v, spark):
     return streams.stall_batch(v("heartbeats"), 36000)
 
 
+@query("q_st_stall_stream", _STALL_SQL)
+def _(v, spark):
+    """The heartbeats as a stream, out of order by up to two hours, stopped and started again twice; a last one far ahead moves the watermark over all."""
+    beats, at = v("heartbeats"), folder(spark)
+    ahead = beats.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").select(F.lit("ahead").alias("run_id"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).cast(beats.schema["ts"].dataType).alias("ts"), *[F.lit(0).cast("long").alias(c) for c in streams.FIELDS])
+    parts = [*arrivals(beats.select("run_id", "ts", *streams.FIELDS)), ahead]
+    live.replay(parts, at, lambda s: (live.stall_stream(s, 36000, "3 hours", expire_ms=10**12), "append"), lambda b, i: b.write.mode("overwrite").parquet(f"{at}/out/batch={i}"))
+    found = spark.read.schema(live.STALL).parquet(f"{at}/out").where("run_id <> 'ahead'")
+    return found.select("run_id", F.col("ts").cast(beats.schema["ts"].dataType).alias("ts"), "idle_sec", "stalled")
+
+
+@query("q_st_progress_stream", """WITH t AS (SELECT run_id, task_id % 50 AS task_id, ts, status, exit_code FROM tasks),
+r AS (SELECT run_id, task_id, arg_max(status, ts) AS status, last(exit_code ORDER BY ts) AS exit_code FROM t GROUP BY 1, 2), e AS (SELECT run_id, date_diff('microsecond', min(ts), max(ts)) / 1000000 AS elapsed_sec FROM t GROUP BY 1)
+SELECT run_id, count(*) AS submitted, count(*) AS completed, 0 AS running, count(*) FILTER (WHERE status = 'FAILED' OR coalesce(exit_code <> 0, false)) AS failed, any_value(elapsed_sec) AS elapsed_sec FROM r JOIN e USING (run_id) GROUP BY 1""")
+def _(v, spark):
+    """Task rows as a stream: tasks run again and again, some rows arrive after later ones of their task; the query is stopped and started again twice."""
+    rows, at = v("tasks").select("run_id", (F.col("task_id") % 50).alias("task_id"), "ts", "status", "exit_code"), folder(spark)
+    live.replay(arrivals(rows), at, lambda s: (live.progress_stream(s, expire_ms=None), "update"), lambda b, i: b.write.mode("overwrite").parquet(f"{at}/out/batch={i}"))
+    last = spark.read.schema(live.PROGRESS).parquet(f"{at}/out").groupBy("run_id").agg(F.max_by(F.struct("submitted", "completed", "running", "failed", "elapsed_sec"), "rows_seen").alias("r"))
+    return last.select("run_id", "r.*")
+
+
 @query("q_st_progress", """WITH r AS (SELECT run_id, task_id % 50 AS task_id, arg_max(status, ts) AS status, arg_max(exit_code, ts) AS e0, max(ts) AS ts, last(exit_code ORDER BY ts) AS exit_code FROM tasks GROUP BY 1, 2)
 SELECT run_id, count(*) AS submitted, count(*) AS completed, 0 AS running, count(*) FILTER (WHERE status = 'FAILED' OR coalesce(exit_code <> 0, false)) AS failed, date_diff('microsecond', min(ts), max(ts)) / 1000000 AS elapsed_sec FROM r GROUP BY 1""")
 def _(v, spark):

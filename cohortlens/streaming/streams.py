@@ -1,25 +1,20 @@
-"""Live runs: stalls, progress, tailed files and captured cases, with Structured Streaming."""
+"""Live runs: stalls, progress, tailed files and captured cases; ``live`` has the streams that keep state of their own."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import scalars as S
 
 FIELDS = ["size", "mtime", "n_files"]
 KINDS = ["finished", "failed", "cancelled", "awaiting_approval"]
-STALL_SCHEMA = "run_id string, ts timestamp, idle_sec double, stalled boolean"
 
 
 def stall_batch(heartbeats: DataFrame, timeout_sec: float) -> DataFrame:
     """Seconds since a run's heartbeat last changed, at each heartbeat; the first counts as a change.
 
-    The batch twin of ``stall_stream``. A timeout of 0 never stalls.
+    The batch twin of ``live.stall_stream``. A timeout of 0 never stalls.
     """
     w = Window.partitionBy("run_id").orderBy("ts", *FIELDS)
     changed = F.lit(False)
@@ -32,66 +27,26 @@ def stall_batch(heartbeats: DataFrame, timeout_sec: float) -> DataFrame:
     return marked.select("run_id", "ts", idle.alias("idle_sec")).withColumn("stalled", (F.lit(timeout_sec) > 0) & (F.col("idle_sec") >= timeout_sec))
 
 
-def stall_stream(heartbeats: DataFrame, timeout_sec: float, delay: str = "1 hour", expire_ms: int = 86_400_000) -> DataFrame:
-    """The same as a stream. Files don't arrive in event order, so rows wait in the state until the watermark passes
-    them and are judged in order of time; a run's state expires ``expire_ms`` after its last heartbeat."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        if state.hasTimedOut and not held:
-            state.remove()
-            return
-        last = list(state.get[1]) if state.exists else []
-        for f in frames:
-            held += [[int(t.value // 1000), *map(int, r)] for t, *r in f[["ts", *FIELDS]].itertuples(index=False)]
-        mark = state.getCurrentWatermarkMs() * 1000
-        held.sort()
-        ready, wait = [r for r in held if r[0] <= mark], [r for r in held if r[0] > mark]
-        out = []
-        for r in ready:
-            if not last or last[1:] != r[1:]:
-                last = list(r)
-            idle = max(0.0, (r[0] - last[0]) / 1e6)
-            out.append((key[0], pd.Timestamp(r[0] * 1000), idle, timeout_sec > 0 and idle >= timeout_sec))
-        if wait:
-            state.update((wait, last))
-            state.setTimeoutTimestamp(max(wait[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.hasTimedOut and not out:
-            state.remove()
-        else:
-            state.update(([], last))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + expire_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["run_id", "ts", "idle_sec", "stalled"])
-
-    watched = heartbeats.withWatermark("ts", delay)
-    return watched.groupBy("run_id").applyInPandasWithState(step, STALL_SCHEMA, "held array<array<long>>, last array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def latest_tasks(rows: DataFrame) -> DataFrame:
-    """The last row of each task of a run; works on batches and, in update mode, on streams."""
-    last = F.max_by(F.struct("status", "exit_code", "ts"), "ts")
+    """The last row of each task of a run, the greatest of several at one time."""
+    last = F.max_by(F.struct("status", "exit_code", "ts"), F.struct("ts", "status", "exit_code"))
     return rows.groupBy("run_id", "task_id").agg(last.alias("r")).select("run_id", "task_id", "r.*")
 
 
+def task_done(status: Column) -> Column:
+    return F.coalesce(F.upper(status).isin("COMPLETED", "CACHED", "FAILED", "ABORTED"), F.lit(False))
+
+
 def progress(rows: DataFrame) -> DataFrame:
     """Submitted, completed, running and failed tasks of each run and its elapsed seconds, from rows that may repeat tasks."""
     t = latest_tasks(rows)
-    done = F.upper("status").isin("COMPLETED", "CACHED", "FAILED", "ABORTED")
+    done = task_done(F.col("status"))
     span = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6
     return t.groupBy("run_id").agg(
         F.count("*").alias("submitted"), F.count_if(done).alias("completed"), F.count_if(~done).alias("running"), F.count_if(S.task_failed(F.col("status"), F.col("exit_code"))).alias("failed"), span.alias("elapsed_sec")
     )
 
 
-def progress_stream(rows: DataFrame, write, delay: str = "1 hour"):
-    """A stateful count of task rows by run and state; ``write`` gets each batch's changed runs."""
-    done = F.upper("status").isin("COMPLETED", "CACHED", "FAILED", "ABORTED")
-    once = rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run_id", "task_id", "status"])
-    a = once.groupBy("run_id").agg(F.count_if(done).alias("completed"), F.count_if(S.task_failed(F.col("status"), F.col("exit_code"))).alias("failed"), F.max("ts").alias("last_ts"))
-    return a.writeStream.outputMode("update").foreachBatch(write)
-
-
 def json_tail(spark: SparkSession, path: str, schema: str, required: str) -> DataFrame:
     """A stream of JSON lines; half-written and invalid lines are left out."""
     raw = spark.readStream.text(path)

@@ -136,22 +136,6 @@ def test_wide_files_are_read_to_their_last_column(spark, tmp_path):
     assert [(r.gene_id, r["count"]) for r in readers.count_matrix(spark, str(tmp_path / "m")).collect()] == [("g", 100_500.0)]
 
 
-def test_stall_stream_equals_batch(spark, tmp_path):
-    rows = [("a", f"2024-01-01 00:{m:02d}:00", s) for m, s in ((0, 1), (5, 1), (10, 2), (20, 2), (45, 2))] + [("b", "2024-01-01 00:03:00", 1), ("b", "2024-01-01 00:30:00", 1)]
-    df = spark.createDataFrame(rows, "run_id string, t string, size long").select("run_id", F.col("t").cast("timestamp").alias("ts"), "size", F.lit(0).cast("long").alias("mtime"), F.lit(1).cast("long").alias("n_files"))
-    want = sorted(map(tuple, streams.stall_batch(df, 600).collect()))
-    late = df.orderBy(F.desc("ts"))  # out of order within what the watermark allows
-    late.coalesce(1).write.parquet(str(tmp_path / "in/1"))
-    flush = spark.createDataFrame([("z", "2024-01-02 00:00:00", 1)], "run_id string, t string, size long").select("run_id", F.col("t").cast("timestamp").alias("ts"), "size", F.lit(0).cast("long").alias("mtime"), F.lit(1).cast("long").alias("n_files"))
-    flush.coalesce(1).write.parquet(str(tmp_path / "in/2"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    q = streams.stall_stream(stream, 600).writeStream.format("memory").queryName("stall").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    got = sorted(tuple(r) for r in spark.table("stall").collect() if r.run_id != "z")
-    assert got == want
-
-
 def test_capture_appends_once(spark, tmp_path):
     df = spark.createDataFrame([("a", "fail"), ("a", "fail"), ("b", "pass")], "run_id string, verdict string")
     df.write.parquet(str(tmp_path / "in"))
