@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import average_rank
+
 
 def collapse_to_gene(transcripts: DataFrame, t2g: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Transcript counts summed by gene; transcripts without a gene are left out."""
@@ -12,17 +14,6 @@ def collapse_to_gene(transcripts: DataFrame, t2g: DataFrame, keys: list[str] | N
     return transcripts.join(t2g, "transcript_id").groupBy(*keys, "gene_id").agg(F.sum("est_counts").alias("count"))
 
 
-def average_rank(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
-    """Fractional ranks within ``keys``; ties share their mean.
-
-    Ranks come from counts by distinct value, so a run with many equal counts sorts only its distinct values.
-    """
-    by = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.select(*keys, value, (before + (F.col("__n") + 1) / 2).alias(out))
-    return df.join(ranked, [*keys, value])
-
-
 def count_concordance(a: DataFrame, b: DataFrame, keys: list[str] | None = None, least: int = 10) -> DataFrame:
     """Spearman correlation, fraction agreeing within 10 %, and gene overlap of two tools' counts.
 
@@ -33,7 +24,10 @@ def count_concordance(a: DataFrame, b: DataFrame, keys: list[str] | None = None,
     pick = lambda side: F.sum(F.when(F.col("side") == side, F.col("count")))
     gene = tag(a, 1).unionByName(tag(b, 2)).groupBy(*keys, "gene_id").agg(pick(1).alias("x"), pick(2).alias("y"))
     both = gene.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    ranked = average_rank(average_rank(both, "x", keys, "rx"), "y", keys, "ry")
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("v")) for k, c in ((1, "x"), (2, "y"))])
+    long = average_rank(both.select(*keys, "gene_id", F.explode(sides).alias("s")).select(*keys, "gene_id", "s.*"), "v", [*keys, "side"], "r")
+    of = lambda k, c: F.max(F.when(F.col("side") == k, F.col(c)))
+    ranked = long.groupBy(*keys, "gene_id").agg(of(1, "v").alias("x"), of(2, "v").alias("y"), of(1, "r").alias("rx"), of(2, "r").alias("ry"))
     agree = F.abs(F.col("x") - F.col("y")) / F.greatest("x", "y", F.lit(1.0)) <= 0.10
     n = F.count("*").cast("double")
     sxy, sx, sy = F.sum(F.col("rx") * F.col("ry")), F.sum("rx"), F.sum("ry")

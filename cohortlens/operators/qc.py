@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.tables import RULE_SCHEMA, RULES, SEVERITY_OF
+from .order import exact_median
 
 BOUNDS = ["fail_below", "warn_below", "warn_above", "fail_above"]
 
@@ -99,9 +100,9 @@ def mad_outliers(metrics: DataFrame, metric: str, keys: list[str] | None = None,
     """Samples further than ``threshold`` median absolute deviations from the median; runs of three samples or more."""
     keys = keys or ["run_id"]
     of = metrics.where((F.col("metric") == metric) & F.col("value").isNotNull() & ~F.isnan("value"))
-    mid = of.groupBy(*keys).agg(F.median("value").alias("med"), F.count("*").alias("n")).where("n >= 3")
+    mid = exact_median(of, "value", keys, "med").where("n_rows >= 3").drop("n_rows")
     dev = of.join(mid, keys).withColumn("dev", F.abs(F.col("value") - F.col("med")))
-    mad = dev.groupBy(*keys).agg(F.median("dev").alias("mad")).where("mad > 0")
+    mad = exact_median(dev, "dev", keys, "mad").where("mad > 0").drop("n_rows")
     out = dev.join(mad, keys).withColumn("score", F.col("dev") / F.col("mad")).where(F.col("score") > threshold)
     return out.select(*keys, "sample", F.lit("warn").alias("status"), "value", "score")
 

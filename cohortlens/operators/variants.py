@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.tables import PAR
+from .order import exact_median
 
 SITE = ["chrom", "pos", "ref", "alt"]
 
@@ -121,7 +122,7 @@ def sex_checks(signals: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def median_vaf(vafs: DataFrame, keys: list[str] | None = None, check: str = "median_vaf", low: float | None = 0.05, high: float | None = 0.95) -> DataFrame:
     """Exact median allele fraction of a run's records with its status; records without one don't count in it."""
     keys = keys or ["run_id"]
-    run = vafs.groupBy(*keys).agg(F.median("vaf").alias("value"), F.count("*").alias("n_records"))
+    run = exact_median(vafs, "vaf", keys, "value").withColumnRenamed("n_rows", "n_records")
     bounds = [F.lit(x).cast("double") for x in (None, low, high, None)]
     return run.select(*keys, F.lit(check).alias("check"), S.band_status(F.col("value"), *bounds).alias("status"), "value", "n_records")
 
