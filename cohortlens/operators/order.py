@@ -35,10 +35,10 @@ def _inside(keys: list[str], value: str) -> Column:
     return F.coalesce(F.sum("n").over(Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def _counted(df: DataFrame, value: str, keys: list[str], ranges: int) -> DataFrame:
+def _counted(df: DataFrame, value: str, keys: list[str], ranges: int, weight: str | None = None) -> DataFrame:
     """Rows of each value of a group. The range is taken from an aggregate, else conditions on it would go below the
     aggregation, where the expression behind the value would be computed again for each mention."""
-    by = df.groupBy(*keys, value).agg(F.count("*").alias("n"), F.max(value).alias("__v"))
+    by = df.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"), F.max(value).alias("__v"))
     return by.withColumn("__range", magnitude(F.col("__v"), ranges)).drop("__v")
 
 
@@ -55,13 +55,14 @@ def average_rank(df: DataFrame, value: str, keys: list[str], out: str) -> DataFr
     return df.join(ranked, [*keys, value])
 
 
-def exact_median(df: DataFrame, value: str, keys: list[str], out: str = "median", ranges: int = RANGES) -> DataFrame:
+def exact_median(df: DataFrame, value: str, keys: list[str], out: str = "median", ranges: int = RANGES, weight: str | None = None) -> DataFrame:
     """The median of each group, the mean of the two middle values of an even number, and ``n_rows``, its rows with NULL values included.
 
+    ``weight`` names a column of how many rows each row stands for.
     A group without a value has a NULL median. NaN counts as greater than all numbers, as in a sort. Only the one or two ranges
     of a group that hold its middle are sorted.
     """
-    by = _counted(df, value, keys, ranges)
+    by = _counted(df, value, keys, ranges, weight)
     low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
     middle = (F.col("__offset") < high) & (F.col("__offset") + F.col("__n") >= low)
     target = _ranges(by, keys).where(F.col("__range").isNull() | middle)  # a group of NULLs alone keeps its row

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core, files, more, parts, texts  # noqa: F401  the others add to core's registry
+from . import checks, core, files, more, parts, texts  # noqa: F401  the others add to core's registry
 
 QUERIES: dict = dict(core.QUERIES)
 ORACLES: dict = dict(core.ORACLES)
