@@ -85,11 +85,11 @@ def _(v, spark):
 _MTX = "SELECT run_id, 'g' || (CAST(gene_id AS BIGINT) % 50) AS gene_id, sum(count) AS count FROM {x} GROUP BY 1, 2"
 
 
-def _triplet_lines(df):
+def _triplet_lines(df, dims="50 7 9"):
     """Lines (run_id, n, value) of one matrix of 50 genes by 7 cells, and of one feature list, for each run."""
     t = df.select("run_id", (F.col("gene_id").cast("long") % 50 + 1).alias("i"), (F.pmod(F.xxhash64("gene_id"), F.lit(7)) + 1).alias("j"), "count")
     ids = t.select("run_id").distinct()
-    head = ids.select("run_id", F.explode(F.array(F.struct(F.lit(-2).alias("n"), F.lit("%%MatrixMarket").alias("value")), F.struct(F.lit(-1).alias("n"), F.lit("50 7 9").alias("value")))).alias("h")).select("run_id", "h.*")
+    head = ids.select("run_id", F.explode(F.array(F.struct(F.lit(-2).alias("n"), F.lit("%%MatrixMarket").alias("value")), F.struct(F.lit(-1).alias("n"), (F.lit(dims) if isinstance(dims, str) else dims).alias("value")))).alias("h")).select("run_id", "h.*")
     body = t.select("run_id", F.lit(1).alias("n"), F.concat_ws(" ", "i", "j", "count").alias("value"))
     names = ids.select("run_id", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("n")).select("run_id", "n", F.format_string("g%d\tname", F.col("n") - 1).alias("value"))
     return head.unionByName(body), names
@@ -120,8 +120,30 @@ def _(v, spark):
 @query("q_op_sc_count_concordance", f"""WITH a AS ({_MTX.format(x='counts_a')}), b AS ({_MTX.format(x='counts_b')}), j AS (SELECT run_id, a.count AS x, b.count AS y FROM a JOIN b USING (run_id, gene_id))
 SELECT run_id, CASE WHEN run_id <> 'r3' THEN count(*) END AS shared, CASE WHEN run_id = 'r3' THEN 'unverified' WHEN count(*) FILTER (WHERE abs(x - y) / greatest(x, y, 1) <= 0.1) / count(*) < 0.9 THEN 'warn' ELSE 'pass' END AS agree_status FROM j GROUP BY 1""")
 def _(v, spark):
-    errors = spark.createDataFrame([("r3",)], "run_id string")
-    return assembly.sc_count_concordance(_mtx(v("counts_a"), spark), _mtx(v("counts_b"), spark), errors).select("run_id", "shared", "agree_status")
+    """The second matrix of run r3 is square, so it can't be compared; the reader says so."""
+    square = F.when(F.col("run_id") == "r3", "50 50 9").otherwise("50 7 9")
+    lines, names = _triplet_lines(v("counts_b"), square)
+    first, second = _matrices(v("counts_a"), spark), readers.matrices(spark, write(lines, "mtx"), write(names))
+    errors = readers.matrix_errors(first.unionByName(second))
+    return assembly.sc_count_concordance(readers._totals(first), readers._totals(second), errors).select("run_id", "shared", "agree_status")
+
+
+def _matrices(df, spark):
+    lines, names = _triplet_lines(df)
+    return readers.matrices(spark, write(lines, "mtx"), write(names))
+
+
+@query("q_src_mtx_faults", """SELECT run_id, CASE run_id WHEN 'r1' THEN 'square matrix, features can''t be told from cells' WHEN 'r2' THEN 'index out of range' WHEN 'r3' THEN 'no dimension as long as the feature list' WHEN 'r4' THEN 'empty file' WHEN 'r5' THEN 'line without three numbers' WHEN 'r6' THEN 'no dimensions' END AS fault,
+CASE WHEN run_id NOT IN ('r1', 'r2', 'r3', 'r4', 'r5', 'r6') THEN sum(count) END AS total FROM counts_a GROUP BY 1""")
+def _(v, spark):
+    """A matrix for each run, six of them with a fault each."""
+    c = v("counts_a")
+    dims = F.when(F.col("run_id") == "r1", "50 50 9").when(F.col("run_id") == "r2", "50 2 9").when(F.col("run_id") == "r3", "51 7 9").when(F.col("run_id") == "r6", "some text").otherwise("50 7 9")
+    lines, names = _triplet_lines(c, dims)
+    lines = lines.where("run_id <> 'r4' OR n = -2")
+    lines = lines.unionByName(lines.where("run_id = 'r5' AND n = -1").select("run_id", F.lit(2).alias("n"), F.lit("1 x 4").alias("value")))
+    found = readers.matrices(spark, write(lines, "mtx"), write(names))
+    return found.groupBy("run_id").agg(F.max("fault").alias("fault"), F.sum("count").alias("total"))
 
 
 VIEWS["suppliers"] = "SELECT 'r' || CAST(s_suppkey AS STRING) AS run_id, s_suppkey AS k, s_nationkey AS m FROM supplier"

@@ -197,6 +197,7 @@ def _(v, spark):
     return claims.observe_table(c.select("run_id", "claim_id", "path", "key", "column"), rows)
 
 
+VIEWS["part_rows"] = "SELECT 'r' || CAST(p_partkey % 10 AS STRING) AS run_id, p_partkey, p_size FROM part"
 _PAT = "SELECT p_brand AS run_id, 'c' || p_partkey AS claim_id, CASE WHEN p_partkey % 4 IN (1, 2, 3) THEN NULL ELSE CAST(p_size AS DOUBLE) END AS observed, CASE p_partkey % 4 WHEN 1 THEN 'no match' WHEN 2 THEN '{none}' WHEN 3 THEN 'several matches' ELSE 'ok' END AS reason FROM part"
 
 
@@ -214,10 +215,40 @@ def _(v, spark):
     c = _part(v).withColumn("path", F.col("claim_id"))
     line = F.concat(F.lit("score = "), F.col("p_size"))
     body = F.when(F.col("p_partkey") % 4 == 1, "no number").when(F.col("p_partkey") % 4 == 3, F.concat(line, F.lit("; "), line)).otherwise(line)
-    cells = F.array(F.struct(F.array(F.struct(F.array(F.lit("x")).alias("text"))).alias("outputs")), F.struct(F.array(F.struct(F.array(body).alias("text"))).alias("outputs")))
-    books = c.select("run_id", "path", F.to_json(F.struct(cells.alias("cells"))).alias("text"))
-    cell = F.when(F.col("p_partkey") % 4 == 2, 9).otherwise(1)
-    return claims.observe_notebook(c.select("run_id", "claim_id", "path", cell.alias("cell"), F.lit("score = ([0-9.]+)").alias("pattern")), books)
+    stream = lambda t, name: F.to_json(F.struct(F.lit("stream").alias("output_type"), F.lit(name).alias("name"), t.alias("text")))
+    shown = F.to_json(F.struct(F.lit("execute_result").alias("output_type"), F.struct(F.array(body, F.lit("\n")).alias("text/plain"), F.lit("<b>").alias("text/html")).alias("data")))
+    output = F.when(F.col("p_partkey") % 3 == 0, stream(body, "stdout")).when(F.col("p_partkey") % 3 == 1, stream(F.array(body, F.lit(" end")), "stdout")).otherwise(shown)
+    cells = F.concat(F.lit('{"cells": [{"cell_type": "markdown", "source": ["Title"]}, {"source": ["a = 1\\n", "show(a)"], "outputs": ['), stream(F.lit("score = 7"), "stderr"), F.lit(", "), output, F.lit(']}, {"source": "b", "outputs": []}]}'))
+    books = c.select("run_id", "path", cells.alias("text"))
+    cell, search = F.when(F.col("p_partkey") % 4 == 2, 9).otherwise(1), F.col("p_partkey") % 5 == 0
+    contains = F.when(search, F.when(F.col("p_partkey") % 4 == 2, "nowhere").otherwise("show(a)"))
+    return claims.observe_notebook(c.select("run_id", "claim_id", "path", F.when(~search, cell).alias("cell"), contains.alias("contains"), F.lit("score = ([0-9.]+)").alias("pattern")), books)
+
+
+@query("q_op_claim_observe_cell", """WITH t AS (SELECT 'r' || CAST(p_partkey % 10 AS STRING) AS run_id, p_partkey, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS size, p_partkey % 70 AS grp, row_number() OVER (PARTITION BY p_partkey % 10 ORDER BY p_partkey) - 1 AS n FROM part),
+g AS (SELECT run_id, grp, count(*) AS k, any_value(size) AS size FROM t GROUP BY 1, 2),
+c AS (SELECT run_id, p_partkey, p_partkey % 5 AS kind, CAST(floor(p_partkey / 10) AS BIGINT) * 2 AS row_at, p_partkey * 7 % 70 AS want FROM t)
+SELECT c.run_id, 'c' || CAST(c.p_partkey AS STRING) AS claim_id, CASE kind WHEN 0 THEN own.size WHEN 1 THEN pl.size WHEN 2 THEN CASE WHEN g.k = 1 THEN g.size END END AS observed,
+CASE kind WHEN 0 THEN CASE WHEN own.size IS NULL THEN 'not a number' ELSE 'ok' END WHEN 1 THEN CASE WHEN pl.n IS NULL THEN 'no row' WHEN pl.size IS NULL THEN 'not a number' ELSE 'ok' END
+WHEN 2 THEN CASE WHEN g.k IS NULL THEN 'no row' WHEN g.k > 1 THEN 'several rows' WHEN g.size IS NULL THEN 'not a number' ELSE 'ok' END WHEN 3 THEN 'no column' ELSE 'several columns' END AS reason
+FROM c LEFT JOIN t own ON own.p_partkey = c.p_partkey LEFT JOIN t pl ON pl.run_id = c.run_id AND pl.n = c.row_at LEFT JOIN g ON g.run_id = c.run_id AND g.grp = c.want""")
+def _(v, spark):
+    """Cells of table files: by key, by place, by a key that may stand in several rows, and by columns that are missing or doubled."""
+    from ..sources import readers
+    from .files import write
+
+    p = v("part_rows")
+    size = F.when(F.col("p_partkey") % 6 == 0, "n/a").otherwise(F.col("p_size").cast("string"))
+    body = p.select("run_id", F.col("p_partkey").cast("long").alias("n"), F.concat_ws("\t", F.concat(F.lit("i"), "p_partkey"), size, F.concat(F.lit(" g"), F.col("p_partkey") % 70), F.lit("x"), F.lit("x")).alias("value"))
+    head = p.select("run_id").distinct().select("run_id", F.lit(-1).cast("long").alias("n"), F.lit("id\tsize\tgrp\ttwin\ttwin").alias("value"))
+    lines = readers._text(spark, write(head.unionByName(body)))
+    k, text = F.col("p_partkey") % 5, lambda c: F.lit(c).cast("string")
+    c = p.select(
+        "run_id", F.concat(F.lit("c"), "p_partkey").alias("claim_id"), F.lit(True).alias("header"), F.when(k.isin(0, 2), "size").when(k == 3, "nope").when(k == 4, "twin").alias("column"), F.when(k == 1, 1).alias("column_at"),
+        F.when(k == 0, text(None)).when(k == 1, (F.floor(F.col("p_partkey") / 10) * 2).cast("string")).otherwise(F.when(k != 2, text("0"))).cast("long").alias("row_at"),
+        F.when(k == 0, "id").when(k == 2, "grp").alias("key_column"), F.when(k == 0, F.concat(F.lit("i"), "p_partkey")).when(k == 2, F.concat(F.lit("g"), F.col("p_partkey") * 7 % 70)).alias("key"),
+    )
+    return claims.observe_cell(c.join(lines.select("run_id", "path").distinct(), "run_id"), lines)
 
 
 @query("q_op_freshness", "SELECT run_id, CAST(task_id AS VARCHAR) AS path, ts - INTERVAL 10 DAY < started AS stale FROM tasks JOIN (SELECT run_id, min(started) AS started FROM runs GROUP BY 1) r USING (run_id)")

@@ -11,6 +11,7 @@ import hashlib
 import struct
 import sys
 import zlib
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -28,7 +29,9 @@ END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000
 
 def storage(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI or local path, and the path in it."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def listing(path: str, suffix: str = "") -> tuple[fs.FileSystem, list[fs.FileInfo]]:
@@ -87,6 +90,30 @@ class _DigestReader(_Reader):
         yield path, size, system.get_file_info(path).mtime, h.hexdigest()
 
 
+class _ListingReader(_Reader):
+    whole = True
+
+    def read(self, partition: Cuts):
+        at = storage(self.path)[1]
+        prefix = self.path[: -len(at)] if "://" in self.path and not self.path.startswith("file:") else "file:"
+        for path, size, *_ in partition.pieces if partition else []:
+            yield prefix + quote(path, safe="/=:,+@$&'()*;!~"), size
+
+
+class FileListing(DataSource):
+    """path, as Spark's readers name it, and size of each file, empty ones included, which Spark's readers skip. Options as for ``file_digests``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_listing"
+
+    def schema(self) -> str:
+        return "path string, size long"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _ListingReader(self.options)
+
+
 class FileDigests(DataSource):
     """path, size, mtime and sha256 of each file. Options: path, suffix (several by comma), rangeBytes (of files read by one task)."""
 
@@ -251,6 +278,10 @@ def _read(spark: SparkSession, source: type[DataSource], path: str, suffix: str,
     return spark.read.format(source.name()).option("suffix", suffix).option("rangeBytes", range_bytes).load(path)
 
 
+def files(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    return _read(spark, FileListing, path, suffix, 2 * RANGE_BYTES)
+
+
 def digests(spark: SparkSession, path: str, suffix: str = "", range_bytes: int = 2 * RANGE_BYTES) -> DataFrame:
     return _read(spark, FileDigests, path, suffix, range_bytes)
 

@@ -118,30 +118,79 @@ def _dense(lines: DataFrame, sep: str = "\t") -> DataFrame:
     return rows.groupBy("run_id", "path", "gene_id").agg(F.sum(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("count"))
 
 
+#: Bits of what can be wrong with a matrix file, and the reason that is told, of the lowest bit that is set.
+MATRIX_FAULTS = ["empty file", "no dimensions", "square matrix, features can't be told from cells", "no feature list", "no dimension as long as the feature list", "index out of range", "line without three numbers"]
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """All files under a folder, empty ones included, without their contents."""
+    run = F.coalesce(F.nullif(F.regexp_extract("path", r"/runs/(?:run_id=)?([^/]+)/", 1), F.lit("")), F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1))
+    return archives.files(spark, path).select(run.alias("run_id"), "path", F.element_at(F.split("path", "/"), -1).alias("file_name"))
+
+
 def mtx(spark: SparkSession, path: str, features: str) -> DataFrame:
-    """MatrixMarket triplets as gene totals; the feature axis is the dimension as long as the feature list, a square matrix is refused."""
-    return _triplets(_text(spark, path), _text(spark, features))
+    """MatrixMarket triplets as gene totals; the feature axis is the dimension as long as the feature list. Files with a fault give nothing, see ``matrices``."""
+    return _totals(_triplets(_files(spark, path), _text(spark, path), _text(spark, features)))
+
+
+def sc_matrix(spark: SparkSession, path: str, features: str) -> DataFrame:
+    """Gene totals of single-cell matrices, of files without a fault."""
+    return _totals(matrices(spark, path, features))
+
+
+def _totals(found: DataFrame) -> DataFrame:
+    return found.where(F.col("fault").isNull()).groupBy("run_id", "gene_id").agg(F.sum("count").alias("count"))
 
 
-def _triplets(lines: DataFrame, features: DataFrame) -> DataFrame:
+def matrices(spark: SparkSession, path: str, features: str) -> DataFrame:
+    """run_id, path, gene_id, count, fault: a row for each gene of a sound matrix, or one row with the fault of one that can't be used.
+
+    Files named .mtx or .mtx.gz are triplets, all others dense tables, whose only fault is to have no counts.
+    """
+    lines, files = _text(spark, path), _files(spark, path)
+    sparse = F.col("file_name").rlike(r"\.mtx(\.gz)?$")
+    dense = _dense(lines.where(~sparse)).select("run_id", "path", "gene_id", "count")
+    dense = files.where(~sparse).select("run_id", "path").join(dense, ["run_id", "path"], "left").withColumn("fault", F.when(F.col("gene_id").isNull(), MATRIX_FAULTS[0]))
+    return _triplets(files.where(sparse), lines.where(sparse), _text(spark, features)).unionByName(dense)
+
+
+def matrix_errors(found: DataFrame) -> DataFrame:
+    """Runs with a matrix that can't be used, and why."""
+    return found.where(F.col("fault").isNotNull()).groupBy("run_id").agg(F.min("fault").alias("reason"))
+
+
+def _triplets(files: DataFrame, lines: DataFrame, features: DataFrame) -> DataFrame:
+    """Sums by gene beside a set of faults by file: both are aggregated from the same lines and meet in one join from the list of files."""
     lines = lines.where(~F.startswith("value", F.lit("%")) & (F.trim("value") != ""))
-    n = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.try_cast("double"))
-    rows = lines.select("run_id", "path", "line", n.alias("n")).where(F.size("n") >= 3)
+    n = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: S.number(x))
+    rows = lines.select("run_id", "path", "line", n.alias("n"))
     top = rows.groupBy("path").agg(F.min_by("n", "line").alias("dims"), F.min("line").alias("top"))
-    names = features.select("run_id", "path", "line", F.split("value", "\t")[0].alias("gene_id"))
+    names = features.where(F.trim("value") != "").select("run_id", "path", "line", F.split("value", "\t")[0].alias("gene_id"))
     names = names.withColumn("idx", F.row_number().over(Window.partitionBy("run_id", "path").orderBy("line"))).drop("path", "line")
     size = names.groupBy("run_id").agg(F.max("idx").alias("n_features"))
-    t = rows.join(top, "path").where("line > top").join(size, "run_id").where("dims[0] <> dims[1]")
-    idx = F.when(F.col("dims")[0] == F.col("n_features"), F.col("n")[0]).when(F.col("dims")[1] == F.col("n_features"), F.col("n")[1]).cast("int")
-    return t.select("run_id", idx.alias("idx"), F.col("n")[2].alias("v")).join(names, ["run_id", "idx"]).groupBy("run_id", "gene_id").agg(F.sum("v").alias("count"))
-
-
-def sc_matrix(spark: SparkSession, path: str, features: str) -> DataFrame:
-    """Gene totals of single-cell matrices: files named .mtx or .mtx.gz are triplets, all others dense tables."""
-    lines = _text(spark, path)
-    sparse = F.col("file_name").rlike(r"\.mtx(\.gz)?$")
-    dense = _dense(lines.where(~sparse)).groupBy("run_id", "gene_id").agg(F.sum("count").alias("count"))
-    return _triplets(lines.where(sparse), _text(spark, features)).unionByName(dense)
+    head = top.withColumn("sound", (F.size("dims") >= 3) & F.col("dims")[0].isNotNull() & F.col("dims")[1].isNotNull())
+    file = files.select("run_id", "path").join(head, "path", "left").join(size, "run_id", "left")
+    d0, d1 = F.when(F.col("sound"), F.get("dims", F.lit(0))), F.when(F.col("sound"), F.get("dims", F.lit(1)))
+    axis = F.when(d0 == F.col("n_features"), 0).when(d1 == F.col("n_features"), 1)
+    known = [F.col("top").isNull(), F.col("top").isNotNull() & ~F.coalesce("sound", F.lit(False)), d0 == d1, F.col("n_features").isNull(), F.col("n_features").isNotNull() & axis.isNull() & d0.isNotNull()]
+    bits = lambda conditions, start: sum((F.when(F.coalesce(c, F.lit(False)), 1 << (start + i)).otherwise(0) for i, c in enumerate(conditions)), F.lit(0))
+    file = file.select("run_id", "path", "top", d0.alias("d0"), d1.alias("d1"), axis.alias("axis"), "n_features", bits(known, 0).alias("faults"))
+    body = rows.drop("run_id").join(file, "path").where("line > top")
+    i, j, v = (F.get("n", F.lit(k)) for k in range(3))
+    blank = i.isNull() | j.isNull() | v.isNull()
+    out = ~blank & ((i < 1) | (i > F.col("d0")) | (j < 1) | (j > F.col("d1")) | (i != F.floor(i)) | (j != F.floor(j)))
+    idx = F.when(F.col("axis") == 0, i).otherwise(j).cast("int")
+    sums = body.groupBy("run_id", "path", F.when(~blank & ~out, idx).alias("idx")).agg(F.sum(F.when(~blank & ~out, v)).alias("count"), F.bit_or(bits([out, blank], 5)).alias("bits"))
+    told = sums.groupBy("run_id", "path").agg(F.bit_or("bits").alias("bits"))
+    file = file.join(told, ["run_id", "path"], "left").select("run_id", "path", F.col("faults").bitwiseOR(F.coalesce("bits", F.lit(0))).alias("faults"))
+    reason = F.lit(None).cast("string")
+    for k in reversed(range(len(MATRIX_FAULTS))):
+        reason = F.when(F.col("faults").bitwiseAND(F.lit(1 << k)) != 0, MATRIX_FAULTS[k]).otherwise(reason)
+    file = file.select("run_id", "path", reason.alias("fault"))
+    genes = sums.where(F.col("idx").isNotNull()).select("run_id", "path", "idx", "count").join(names, ["run_id", "idx"]).groupBy("run_id", "path", "gene_id").agg(F.sum("count").alias("count"))
+    joined = file.join(genes, ["run_id", "path"], "left")
+    good = F.col("fault").isNull()
+    return joined.select("run_id", "path", F.when(good, F.col("gene_id")).alias("gene_id"), F.when(good, F.col("count")).alias("count"), "fault").where(~good | F.col("gene_id").isNotNull()).distinct()
 
 
 def multiqc(spark: SparkSession, path: str) -> DataFrame:

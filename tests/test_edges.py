@@ -211,3 +211,79 @@ def test_single_cell_matrices_are_routed_by_name(spark, tmp_path):
 @pytest.mark.parametrize(("bounds", "want"), [((1.0, 2.0, 3.0, None), "[2.00, 3.00]"), ((1.0, None, None, None), ">= 1.00"), ((None, None, None, 9.5), "<= 9.50"), ((None,) * 4, None)])
 def test_expected_ranges(spark, bounds, want):
     assert one(spark, S.expected_range(*[F.lit(b).cast("double") for b in bounds])) == want
+
+
+def test_matrices_end_as_rows_or_with_a_fault(spark, tmp_path):
+    """Nothing vanishes: each file gives genes or one fault, the lowest of several."""
+    feats, data = tmp_path / "f" / "runs", tmp_path / "d e" / "runs"
+    files = {
+        "empty": "", "comment": "%%MatrixMarket\n%x\n", "square": "%%MatrixMarket\n2 2 1\n1 1 4\n", "far": "2 3 1\n3 1 4\n1 1 1\n", "cell": "2 3 1\n1 4 4\n", "zero": "2 3 1\n0 1 4\n", "half": "2 3 1\n1.5 1 4\n", "text": "2 3 1\n1 1 x\n1 1 2\n",
+        "short": "2 3 1\n1 1\n", "nodims": "a b c\n1 1 1\n", "other": "5 3 1\n1 1 1\n", "good": "2 3 2\n1 1 4\n1 3 5\n", "turned": "3 2 1\n3 2 7\n", "nothing": "2 3 0\n", "both": "2 2 1\n9 9 x\n",
+    }
+    for name, content in files.items():
+        (data / name).mkdir(parents=True)
+        (data / name / "m.mtx").write_text(content)
+        (feats / name).mkdir(parents=True)
+        (feats / name / "features.tsv").write_text("g1\tx\ng2\ty\n")
+    (data / "nofeatures").mkdir()
+    (data / "nofeatures" / "m.mtx").write_text("2 3 1\n1 1 4\n")
+    for name, content in {"dense": "gene\tc1\ng1\t3\n", "nodense": "gene\tc1\n", "emptydense": ""}.items():
+        (data / name).mkdir()
+        (data / name / "m.tsv").write_text(content)
+    found = readers.matrices(spark, str(data), str(feats))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.run_id, []).append(r.fault or (r.gene_id, r["count"]))
+    f = readers.MATRIX_FAULTS
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "empty": [f[0]], "comment": [f[0]], "square": [f[2]], "far": [f[5]], "cell": [f[5]], "zero": [f[5]], "half": [f[5]], "text": [f[6]], "short": [f[6]], "nodims": [f[1]], "other": [f[4]], "good": [("g1", 9.0)], "turned": [("g2", 7.0)],
+        "both": [f[2]], "nofeatures": [f[3]], "dense": [("g1", 3.0)], "nodense": [f[0]], "emptydense": [f[0]],
+    }
+    assert {r.run_id: r.reason for r in readers.matrix_errors(found).collect()}["square"] == f[2]
+
+
+def test_patterns_with_and_without_groups(spark):
+    from cohortlens.operators import claims
+
+    rows = [("a", "x 12 y", "[0-9]+", 12.0), ("b", "x 12 y", "x ([0-9]+)", 12.0), ("c", "(7)", r"\(7\)", None), ("d", "7.5", r"[(0-9.]+", 7.5), ("e", "n=3", "(?<v>[0-9])", 3.0), ("f", "n=3", "(?:n=)?[0-9]", None), ("g", "3 3", "[0-9]", None), ("h", "v 8", r"(?<=v )8", 8.0), ("i", "", "[0-9]", None), ("j", r"\4", r"\\(4)", 4.0)]
+    df = spark.createDataFrame([("r", k, k, t, p) for k, t, p, _ in rows], "run_id string, claim_id string, path string, text string, pattern string")
+    got = {r.claim_id: r.observed for r in claims.observe_pattern(df.select("run_id", "claim_id", "path", "pattern"), df.select("run_id", "path", "text")).collect()}
+    assert got == {k: v for k, _, _, v in rows}
+
+
+def test_notebook_shapes(spark):
+    import json
+
+    from cohortlens.operators import claims
+
+    cells = [
+        {"source": ["one\n", "two"], "outputs": [{"output_type": "stream", "name": "stdout", "text": "a 1"}, {"output_type": "stream", "name": "stderr", "text": "a 9"}]}, {"source": "one", "outputs": [{"output_type": "stream", "name": "stdout", "text": ["a ", 5, "2"]}]},
+        {"source": None, "outputs": [{"output_type": "display_data", "data": {"text/plain": "a 3"}}, {"output_type": "execute_result", "data": {"text/plain": ["\na", " x"]}}, {"output_type": "error", "text": "a 7"}, 4]}, {"source": "none", "outputs": []}, "no cell", {"source": "html", "outputs": [{"output_type": "display_data", "data": {"text/html": "a 1"}}]},
+    ]
+    books = spark.createDataFrame([("r", "n", json.dumps({"cells": cells})), ("r", "bad", "{"), ("r", "list", "[1]")], "run_id string, path string, text string")
+    c = [(str(i), "n", i, None) for i in range(7)] + [("two", "n", None, "two"), ("one", "n", None, "one"), ("not", "n", None, "zzz"), ("bad", "bad", 0, None), ("list", "list", None, "a"), ("file", "gone", 0, None)]
+    df = spark.createDataFrame([("r", *x, "a ([0-9])") for x in c], "run_id string, claim_id string, path string, cell int, contains string, pattern string")
+    got = {r.claim_id: (r.observed, r.reason) for r in claims.observe_notebook(df, books).collect()}
+    no = lambda why: (None, why)
+    assert got == {"0": (1.0, "ok"), "1": (2.0, "ok"), "2": (3.0, "ok"), "3": no("no output"), "4": no("no output"), "5": no("no match"), "6": no("no cell"), "two": (1.0, "ok"), "one": no("several cells"), "not": no("no cell"), "bad": no("no cell"), "list": no("no cell"), "file": no("no cell")}
+
+
+def test_cells_by_place_across_blocks(spark, tmp_path):
+    """Rows keep their places where a file is read in several blocks."""
+    from cohortlens.operators import claims
+
+    (tmp_path / "runs" / "r").mkdir(parents=True)
+    (tmp_path / "runs" / "r" / "t.tsv").write_text("id\tv\n" + "".join(f"i{i}\t{i * 2}\n" for i in range(3000)) + "short\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        lines = readers._text(spark, str(tmp_path / "runs"))
+        assert lines.select("line.file_block_start").distinct().count() > 5
+        path = lines.first().path
+        c = [("a", "v", None, 0, None, None), ("b", None, 1, 2999, None, None), ("c", "v", None, 3001, None, None), ("d", "v", None, 3000, None, None), ("e", "v", None, None, "id", " i77 "), ("f", "v", None, None, "id", "zz"), ("g", "v", None, None, "no", "i7"), ("h", None, 2, 0, None, None), ("i", None, -1, 0, None, None)]
+        df = spark.createDataFrame([("r", k, path, True, *x) for k, *x in c] + [("r", "j", path, False, None, 0, 0, None, None), ("r", "k", path, False, "v", None, 0, None, None), ("r", "l", "gone", True, "v", None, 0, None, None)], "run_id string, claim_id string, path string, header boolean, column string, column_at int, row_at long, key_column string, key string")
+        got = {r.claim_id: (r.observed, r.reason) for r in claims.observe_cell(df, lines).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    no = lambda why: (None, why)
+    assert got == {"a": (0.0, "ok"), "b": (5998.0, "ok"), "c": no("no row"), "d": no("short row"), "e": (154.0, "ok"), "f": no("no row"), "g": no("no key column"), "h": no("no column"), "i": no("no column"), "j": no("not a number"), "k": no("name without a header"), "l": no("no rows")}
