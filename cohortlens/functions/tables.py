@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 SEVERITY_OF = {"fail": 3, "warn": 2, "pass": 1, "unverified": 0}
+# Fixed values.
 CLAIM_EPSILON = 1e-9
+# Fixed values.
 MIN_SHARED = {"spearman": 10, "genotype": 1, "somatic": 10, "consequence": 10}
 
 #: pack, check, metric, fail below, warn below, warn above, fail above, unit. Fixed values.
@@ -56,6 +58,7 @@ PAR = [
 ]
 CHRX_LENGTH = {"155270560": "GRCh37", "156040895": "GRCh38"}
 
+# Fixed values.
 SALIENT = ["error", "fail", "killed", "not found", "exit", "out of memory", "cannot", "unable", "no such", "missing", "denied", "fault", "exception", "traceback"]
 
 #: class, confidence, groups of needles: a rule fires if some line holds one needle of each group. In order; the first that fires wins. Fixed values.
@@ -88,7 +91,7 @@ FAILURES = [
 REPAIRS = [
     ("oom", "resource", "memory_x2", "safe"), ("time_limit", "resource", "time_x2", "safe"), ("container_pull_failed", "retry", "retry", "safe"),
     ("download_failed", "retry", "retry", "safe"), ("no_progress", "retry", "retry", "safe"), ("container_unavailable", "retry", "retry_after_15s", "safe"),
-    ("missing_index", "index", "build_index", "needs_confirmation"), ("reference_not_bgzf", "reference", "recompress", "needs_confirmation"),
+    ("missing_index", "reference", "build_index", "needs_confirmation"), ("reference_not_bgzf", "reference", "recompress", "needs_confirmation"),
     ("missing_reference", "parameter", "igenomes_ignore", "needs_confirmation"), ("bad_param", "parameter", "validate_params_off", "needs_confirmation"),
     ("platform_unsupported", "advice", "advise", "advisory"), ("conda_solve_failed", "advice", "advise", "advisory"),
     ("disk_full", "advice", "advise", "advisory"), ("permission_denied", "advice", "advise", "advisory"),
@@ -104,11 +107,13 @@ ASSAYS = [
     ("mag", ["metagenom", "shotgun", " mag", "mags"]),
     ("ampliseq", ["16s", "amplicon", "microbiome", "dada2"]),
 ]
+# Fixed values.
 PIPELINES = [
     ("rnaseq", "nf-core/rnaseq"), ("scrnaseq", "nf-core/scrnaseq"), ("variant_calling", "nf-core/sarek"), ("somatic_variant_calling", "nf-core/sarek"),
     ("methylseq", "nf-core/methylseq"), ("mag", "nf-core/mag"), ("ampliseq", "nf-core/ampliseq"),
 ]
 
+# Fixed values.
 METRIC_WORDS = [
     "auc", "auroc", "auprc", "area under the curve", "accuracy", "precision", "recall", "f1", "f1 score", "f-score", "sensitivity", "specificity", "pearson",
     "spearman", "correlation", "r2", "r²", "r-squared", "mse", "rmse", "mae", "dice", "iou", "fold change", "log2 fold change", "log fold change",

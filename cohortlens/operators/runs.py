@@ -144,11 +144,33 @@ def reference_identity(parameters: DataFrame, artifacts: DataFrame) -> DataFrame
     return df.select("run_id", kind.alias("kind"), "genome", "fasta_sha", "gtf_sha")
 
 
-def rocrate(runs: DataFrame, files: DataFrame) -> DataFrame:
-    """A JSON-LD document for each run with its files as parts."""
-    parts = files.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(F.col("path").alias("@id"), F.lit("File").alias("@type"), F.col("sha256")))).alias("parts"))
-    df = runs.join(parts, "run_id", "left")
-    root = F.struct(F.lit("./").alias("@id"), F.lit("Dataset").alias("@type"), F.col("run_id").alias("name"), F.transform(F.coalesce("parts", F.array().cast("array<struct<`@id`:string,`@type`:string,sha256:string>>")), lambda p: F.struct(p["@id"].alias("@id"))).alias("hasPart"))
-    doc = F.struct(F.lit("https://w3id.org/ro/crate/1.1/context").alias("@context"), F.struct(root.alias("root"), F.col("parts").alias("files")).alias("@graph"))
-    return df.select("run_id", F.to_json(doc).alias("document"))
+def rocrate(runs: DataFrame, files: DataFrame, qc: DataFrame | None = None) -> DataFrame:
+    """run_id and document: the JSON-LD of a crate for each run, whose @graph is an array of descriptor, root, application, input and output files, in this order.
 
+    runs: run_id, and as far as there are such columns pipeline, pipeline_revision, verdict and parameters (a map); files: run_id, path, sha256, and role (input, else
+    output); qc: run_id, check, status, value. Entities differ in shape, so each is a variant. Files come by path and checks by name, so that a
+    run's document is the same each time.
+    """
+    has = lambda df, c, kind="string": F.col(c) if c in df.columns else F.lit(None).cast(kind)
+    of = lambda r: F.when(F.coalesce(has(files, "role"), F.lit("output")) == r, F.struct(F.col("path").alias("@id"), F.lit("File").alias("@type"), F.col("sha256")))
+    parts = files.groupBy("run_id").agg(*[F.array_sort(F.collect_set(of(r))).alias(f"__{r}") for r in ("input", "output")])
+    df = runs.join(parts, "run_id", "left")
+    results = "array<struct<`check`:string,status:string,value:double>>"
+    if qc is not None:
+        df = df.join(qc.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("check", "status", F.col("value").cast("double").alias("value")))).alias("__qc")), "run_id", "left")
+    else:
+        df = df.withColumn("__qc", F.lit(None).cast(results))
+    none = F.array().cast("array<struct<`@id`:string,`@type`:string,sha256:string>>")
+    inputs, outputs = F.coalesce("__input", none), F.coalesce("__output", none)
+    pipeline = has(df, "pipeline")
+    sorted_map = F.map_from_entries(F.array_sort(F.map_entries(F.coalesce(has(df, "parameters", "map<string,string>"), F.create_map().cast("map<string,string>")))))
+    link = lambda c: F.struct(c.alias("@id"))
+    entity = lambda *c: F.parse_json(F.to_json(F.struct(*c)))
+    descriptor = entity(F.lit("ro-crate-metadata.json").alias("@id"), F.lit("CreativeWork").alias("@type"), link(F.lit("https://w3id.org/ro/crate/1.1")).alias("conformsTo"), link(F.lit("./")).alias("about"))
+    root = entity(
+        F.lit("./").alias("@id"), F.lit("Dataset").alias("@type"), F.col("run_id").alias("identifier"), F.concat(F.lit("run "), "run_id").alias("name"), F.when(pipeline.isNotNull(), link(pipeline)).alias("mainEntity"),
+        F.transform(F.concat(inputs, outputs), lambda f: link(f["@id"])).alias("hasPart"), has(df, "verdict").alias("verdict"), sorted_map.alias("parameters"), F.coalesce("__qc", F.array().cast(results)).alias("qcResults"),
+    )
+    application = F.when(pipeline.isNotNull(), entity(pipeline.alias("@id"), F.lit("SoftwareApplication").alias("@type"), pipeline.alias("name"), has(df, "pipeline_revision").alias("version")))
+    entities = F.concat(F.array_compact(F.array(descriptor, root, application)), F.transform(F.concat(inputs, outputs), lambda f: F.parse_json(F.to_json(f))))
+    return df.select("run_id", F.to_json(F.struct(F.lit("https://w3id.org/ro/crate/1.1/context").alias("@context"), entities.alias("@graph"))).alias("document"))

@@ -53,6 +53,7 @@ def diagnose(logs: DataFrame, events: DataFrame | None = None, keys: list[str] |
         fires = F.size(hit) > 0
         if cls == "oom":
             fires = fires | flag("__oom")
+            hit = F.when(flag("__oom"), F.concat(F.array(F.lit("exit 137")), hit)).otherwise(hit)
         elif cls == "conda_solve_failed":
             fires = fires | (F.contains(low, F.lit("conda")) & F.contains(low, F.lit("solve")))
         elif cls == "platform_unsupported":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -93,6 +93,25 @@ def par_mask(calls: DataFrame, build: str | None) -> DataFrame:
     return calls.where(~inside)
 
 
+def range_mask(calls: DataFrame, ranges: DataFrame, bin_size: int = 1 << 20) -> DataFrame:
+    """Calls outside all ranges of a table of any size: chrom, lo, hi, both ends inside; names of chromosomes with and without chr are the same.
+
+    An interval join by bins: a range stands in each bin that it touches, a call in its own, and they meet on chromosome and bin with
+    the overlap checked. Ranges are first merged into stretches that don't overlap, so a bin holds few of them. Rows with NULL ends mask nothing.
+    """
+    name = lambda c: F.regexp_replace(F.lower(c), "^chr", "")
+    r = ranges.where("lo <= hi").select(name("chrom").alias("__chrom"), F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    r = r.select("*", F.explode(F.sequence(F.floor(F.col("lo") / bin_size), F.floor(F.col("hi") / bin_size))).alias("__bin"))
+    first, last = F.col("__bin") * bin_size, (F.col("__bin") + 1) * bin_size - 1
+    r = r.select("__chrom", "__bin", F.greatest("lo", first).alias("lo"), F.least("hi", last).alias("hi")).distinct()
+    w = Window.partitionBy("__chrom", "__bin").orderBy("lo", "hi")
+    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    r = r.withColumn("__new", F.coalesce((F.col("lo") > reach + 1).cast("int"), F.lit(1))).withColumn("__part", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    r = r.groupBy("__chrom", "__bin", "__part").agg(F.min("lo").alias("__lo"), F.max("hi").alias("__hi"))
+    on = (name("chrom") == F.col("__chrom")) & (F.floor(F.col("pos") / bin_size) == F.col("__bin")) & F.col("pos").between(F.col("__lo"), F.col("__hi"))
+    return calls.join(r, on, "left_anti")
+
+
 def sex_inference(calls: DataFrame, build: str | None, keys: list[str] | None = None, order: list[str] | None = None, least: int = 20) -> DataFrame:
     """X heterozygosity, X sites, Y variants and the sex they tell, one row for each run."""
     keys = keys or ["run_id"]

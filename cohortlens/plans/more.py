@@ -74,12 +74,28 @@ def _(v, spark):
     return runs.reference_identity(parameters, a)
 
 
-@query("q_snk_rocrate", "SELECT run_id, count(*) AS n_files, min(path) AS first_file FROM artifacts GROUP BY 1")
+@query("q_snk_rocrate", """WITH f AS (SELECT DISTINCT run_id, path, sha256, path LIKE '%.fasta' AS input FROM artifacts), g AS (SELECT run_id, count(*) AS n_files, count(*) FILTER (WHERE input) AS n_inputs, coalesce(min(path) FILTER (WHERE input), min(path)) AS first_file FROM f GROUP BY 1)
+SELECT run_id, n_files, n_inputs, first_file, 'ro-crate-metadata.json,./,p/' || run_id AS heads, 'CreativeWork,Dataset,SoftwareApplication' AS types, n_files AS parts, 'pass' AS verdict, 'v1' AS version FROM g""")
 def _(v, spark):
-    a = v("artifacts")
-    doc = F.try_parse_json("document")
-    out = runs.rocrate(a.select("run_id").distinct(), a).withColumn("files", F.try_variant_get(doc, "$['@graph'].files", "array<struct<`@id`:string>>"))
-    return out.select("run_id", F.size("files").cast("long").alias("n_files"), F.array_min(F.transform("files", lambda x: x["@id"])).alias("first_file"))
+    """The crates read back as any reader of JSON would."""
+    a = v("artifacts").withColumn("role", F.when(F.endswith("path", F.lit(".fasta")), "input"))
+    r = a.select("run_id").distinct().select("run_id", F.concat(F.lit("p/"), "run_id").alias("pipeline"), F.lit("v1").alias("pipeline_revision"), F.lit("pass").alias("verdict"), F.create_map(F.lit("a"), F.lit("1")).alias("parameters"))
+    entity = "struct<`@id`:string,`@type`:string,sha256:string,hasPart:array<struct<`@id`:string>>,verdict:string,version:string>"
+    out = runs.rocrate(r, a).select("run_id", F.from_json("document", f"struct<`@graph`:array<{entity}>>")["@graph"].alias("g"))
+    files, first = F.filter("g", lambda e: e["@type"] == "File"), F.slice("g", 1, 3)
+    return out.select(
+        "run_id", F.size(files).cast("long").alias("n_files"), F.size(F.filter(files, lambda e: F.endswith(e["@id"], F.lit(".fasta")))).cast("long").alias("n_inputs"), files[0]["@id"].alias("first_file"),
+        F.array_join(F.transform(first, lambda e: e["@id"]), ",").alias("heads"), F.array_join(F.transform(first, lambda e: e["@type"]), ",").alias("types"), F.size(F.col("g")[1]["hasPart"]).cast("long").alias("parts"), F.col("g")[1]["verdict"].alias("verdict"), F.col("g")[2]["version"].alias("version"),
+    )
+
+
+VIEWS["masked"] = "SELECT CAST(p_partkey % 25 + 1 AS STRING) AS chrom, CAST(p_partkey * 97 % 60000 * 400 AS BIGINT) AS lo, CAST(p_partkey * 97 % 60000 * 400 + p_size * 20000 AS BIGINT) AS hi FROM part"
+
+
+@query("q_op_range_mask", "SELECT run_id, count(*) AS n FROM calls_a c WHERE NOT EXISTS (SELECT 1 FROM masked m WHERE m.chrom = c.chrom AND c.pos BETWEEN m.lo AND m.hi) GROUP BY 1")
+def _(v, spark):
+    """Calls outside a table of ranges, of which some overlap and some are much longer than a bin."""
+    return variants.range_mask(v("calls_a"), v("masked"), 1 << 16).groupBy("run_id").agg(F.count("*").alias("n"))
 
 
 _MTX = "SELECT run_id, 'g' || (CAST(gene_id AS BIGINT) % 50) AS gene_id, sum(count) AS count FROM {x} GROUP BY 1, 2"

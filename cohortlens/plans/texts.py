@@ -36,7 +36,8 @@ def _diagnose_sql() -> str:
             fires = f"({fires} AND contains(low, '.cram'))"
         cls.append(f"WHEN {fires} THEN '{c}'")
         conf.append(f"WHEN {fires} THEN {p}")
-        ev.append(f"WHEN {fires} THEN array_to_string({hit}, '|')")
+        shown = f"CASE WHEN oom THEN list_prepend('exit 137', {hit}) ELSE {hit} END" if c == "oom" else hit
+        ev.append(f"WHEN {fires} THEN array_to_string({shown}, '|')")
     last = "list_extract(list_filter(ls, lambda x: trim(x) <> ''), -1)"
     return f"""
 WITH f AS (SELECT run_id, coalesce(bool_or(exit_code = 137), false) AS oom, bool_or(coalesce(status = 'FAILED', false) OR coalesce(exit_code <> 0, false)) AS failed,

@@ -287,3 +287,34 @@ def test_cells_by_place_across_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     no = lambda why: (None, why)
     assert got == {"a": (0.0, "ok"), "b": (5998.0, "ok"), "c": no("no row"), "d": no("short row"), "e": (154.0, "ok"), "f": no("no row"), "g": no("no key column"), "h": no("no column"), "i": no("no column"), "j": no("not a number"), "k": no("name without a header"), "l": no("no rows")}
+
+
+def test_masks_of_ranges(spark):
+    rows = [("chr1", 1), ("1", 10), ("1", 11), ("1", 70_000), ("1", 200_000), ("2", 10), ("X", 5), ("X", -1)]
+    calls = spark.createDataFrame([("r", c, p) for c, p in rows], "run_id string, chrom string, pos long")
+    ranges = [("1", 5, 10), ("1", 8, 9), ("chr1", 60_000, 150_000), ("x", -3, 2), ("2", 20, 5), ("2", None, 50), ("3", 1, 9)]
+    for size in (7, 1000, 1 << 20):
+        got = variants.range_mask(calls, spark.createDataFrame(ranges, "chrom string, lo long, hi long"), size).collect()
+        assert sorted((r.chrom, r.pos) for r in got) == [("1", 11), ("1", 200_000), ("2", 10), ("X", 5), ("chr1", 1)]
+    assert variants.range_mask(calls, spark.createDataFrame([], "chrom string, lo long, hi long")).count() == len(rows)
+
+
+def test_crates_are_arrays_in_a_fixed_order(spark):
+    import json
+
+    r = spark.createDataFrame([("a", "p/x", "v1", "pass", {"k": "1", "b": "2"}), ("b", None, None, None, None)], "run_id string, pipeline string, pipeline_revision string, verdict string, parameters map<string,string>")
+    f = spark.createDataFrame([("a", "out/z", "s1", None), ("a", "out/y", "s2", "output"), ("a", "in/q", "s3", "input"), ("a", "in/q", "s3", "input")], "run_id string, path string, sha256 string, role string")
+    q = spark.createDataFrame([("a", "c2", "warn", None), ("a", "c1", "pass", 2.0)], "run_id string, check string, status string, value double")
+    got = {x.run_id: json.loads(x.document) for x in runs.rocrate(r, f, q).collect()}
+    assert [e["@id"] for e in got["a"]["@graph"]] == ["ro-crate-metadata.json", "./", "p/x", "in/q", "out/y", "out/z"]
+    root = got["a"]["@graph"][1]
+    assert root["hasPart"] == [{"@id": "in/q"}, {"@id": "out/y"}, {"@id": "out/z"}] and root["parameters"] == {"b": "2", "k": "1"} and list(root["parameters"]) == ["b", "k"] and [c["check"] for c in root["qcResults"]] == ["c1", "c2"]
+    assert got["a"]["@graph"][2] == {"@id": "p/x", "@type": "SoftwareApplication", "name": "p/x", "version": "v1"} and got["a"]["@context"].endswith("/context")
+    assert [e["@id"] for e in got["b"]["@graph"]] == ["ro-crate-metadata.json", "./"]
+
+
+def test_a_kill_by_137_is_its_own_evidence(spark):
+    logs = spark.createDataFrame([("a", "nothing"), ("b", "Killed"), ("c", "out of memory")], "run_id string, log_text string")
+    events = spark.createDataFrame([("a", "FAILED", 137), ("b", "FAILED", 137), ("c", "FAILED", 1)], "run_id string, status string, exit_code int")
+    got = {r.run_id: (r.failure_class, list(r.evidence)) for r in text.diagnose(logs, events).collect()}
+    assert got == {"a": ("oom", ["exit 137"]), "b": ("oom", ["exit 137", "Killed"]), "c": ("oom", ["out of memory"])}
