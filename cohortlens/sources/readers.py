@@ -41,9 +41,10 @@ def _table(lines: DataFrame, sep: str = "\t") -> DataFrame:
     first = lines.groupBy("path").agg(F.min_by("value", "line").alias("header"), F.min("line").alias("top"))
     cells = F.split("value", sep)
     names = F.transform(F.split("header", sep), lambda c: F.trim(c))
+    zipped = F.transform(F.arrays_zip(names.alias("k"), cells.alias("v")), lambda z: F.struct(z["k"].alias("k"), z["v"].alias("v")))
     pairs = F.map_from_entries(F.array_distinct(F.transform(F.arrays_zip(names.alias("k"), cells.alias("v")), lambda z: F.struct(z["k"], z["v"]))))
     rows = lines.join(first, "path").where((F.col("line") > F.col("top")) & (F.trim("value") != ""))
-    return rows.select("run_id", "path", "file_name", "line", pairs.alias("row"))
+    return rows.select("run_id", "path", "file_name", "line", pairs.alias("row"), zipped.alias("cells"))
 
 
 def _get(name: str) -> Column:
@@ -205,41 +206,64 @@ def multiqc(spark: SparkSession, path: str) -> DataFrame:
     return s.withColumn("value", S.number(F.col("text"))).where(F.col("value").isNotNull()).groupBy("run_id", "sample", "metric").agg(F.max_by("value", "pos").alias("value"))
 
 
-def _aliased(names: list[str]) -> Column:
-    return F.coalesce(*[_get(n) for n in names])
+# Names of columns in reports as tools write them, in lower case. Fixed values.
+SAMPLE_NAMES = ["sample", "sample_id", "sampleid", "samples", "index"]
+INPUT_NAMES = ["input", "input_reads", "reads_input", "dada2_input"]
+NONCHIM_NAMES = ["nonchim", "non_chim", "non-chim", "nonchimeric", "non_chimeric", "non-chimeric", "dada2_nonchim"]
+NO_SAMPLES = ["sequence", "sequences", "asv_id", "asv", "id", "otu", "otu_id", "taxonomy", "#otu id"]
+BIN_NAMES = ["assembly", "bin", "bin id", "binid", "bin_id"]
+
+
+def _has(names: list[str]) -> Column:
+    return F.exists("cells", lambda z: F.lower(z["k"]).isin(*names))
+
+
+def _aliased(names: list[str], or_first: bool = False) -> Column:
+    """The cell of the first column of one of these names in any case, else of the first column if so wanted; blank and '-' are NULL."""
+    hits = F.filter("cells", lambda z: F.lower(z["k"]).isin(*names))
+    cell = F.get(hits, F.lit(0))["v"]
+    if or_first:
+        cell = F.when(F.size(hits) > 0, cell).otherwise(F.get("cells", F.lit(0))["v"])
+    v = F.trim(cell)
+    return F.when(~v.isin("", "-"), v)
 
 
 def dada2(spark: SparkSession, path: str) -> DataFrame:
-    """Reads in and kept by sample, and the percentage; NULL where no read came in."""
-    t = _table(_text(spark, path)).select("run_id", _aliased(["sample", "Sample", "sampleID"]).alias("sample"), S.number(_aliased(["input", "DADA2_input"])).alias("input_reads"), S.number(_aliased(["nonchim", "DADA2_nonchim"])).alias("nonchim"))
+    """Reads in and kept by sample, and the percentage; NULL where no read came in. Files without either column say nothing."""
+    t = _table(_text(spark, path)).where(_has(INPUT_NAMES) | _has(NONCHIM_NAMES))
+    t = t.select("run_id", _aliased(SAMPLE_NAMES, or_first=True).alias("sample"), S.number(_aliased(INPUT_NAMES)).alias("input_reads"), S.number(_aliased(NONCHIM_NAMES)).alias("nonchim")).where("sample IS NOT NULL")
     return t.withColumn("percent_retained", F.when(F.col("input_reads") != 0, F.col("nonchim") / F.col("input_reads") * 100))
 
 
 def asv_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Variants present in each sample; sample columns are those whose cells are all numbers."""
-    cells = _table(_text(spark, path)).select("run_id", "path", F.explode("row").alias("sample", "v")).withColumn("n", S.number(F.col("v")))
-    a = cells.groupBy("run_id", "path", "sample").agg(F.bool_and(F.col("n").isNotNull()).alias("numeric"), F.count_if(F.col("n") != 0).alias("asv_count"))
+    """Variants present in each sample; samples are the columns after the first that aren't named as ids, sequences or taxa and whose cells are all numbers."""
+    cells = _table(_text(spark, path)).select("run_id", "path", F.posexplode("cells").alias("at", "c")).where((F.col("at") > 0) & ~F.lower("c.k").isin(*NO_SAMPLES) & (F.col("c.k") != ""))
+    cells = cells.select("run_id", "path", F.col("at"), F.col("c.k").alias("sample"), S.number(F.col("c.v")).alias("n"))
+    a = cells.groupBy("run_id", "path", "at", "sample").agg(F.bool_and(F.col("n").isNotNull()).alias("numeric"), F.count_if(F.col("n") != 0).alias("asv_count"))
     return a.where("numeric").select("run_id", "sample", "asv_count")
 
 
 def quast(spark: SparkSession, path: str) -> DataFrame:
-    return _table(_text(spark, path)).select("run_id", _get("Assembly").alias("bin"), S.number(_get("N50")).alias("n50")).where("n50 IS NOT NULL")
+    """N50 of each bin, NULL where it is no number. Files without the column say nothing; without a column of bins the first one names them."""
+    t = _table(_text(spark, path)).where(_has(["n50"]))
+    return t.select("run_id", _aliased(BIN_NAMES, or_first=True).alias("bin"), S.number(_aliased(["n50"])).alias("n50")).where("bin IS NOT NULL")
 
 
 def checkm(spark: SparkSession, path: str) -> DataFrame:
-    t = _table(_text(spark, path))
-    return t.select("run_id", _aliased(["Bin Id", "Bin", "bin"]).alias("bin"), S.number(_get("Completeness")).alias("completeness"), S.number(_get("Contamination")).alias("contamination"))
+    """Completeness and contamination of each bin. Files without either column say nothing; without a column of bins the first one names them."""
+    t = _table(_text(spark, path)).where(_has(["completeness"]) | _has(["contamination"]))
+    return t.select("run_id", _aliased(BIN_NAMES, or_first=True).alias("bin"), S.number(_aliased(["completeness"])).alias("completeness"), S.number(_aliased(["contamination"])).alias("contamination")).where("bin IS NOT NULL")
 
 
 def bismark(spark: SparkSession, path: str) -> DataFrame:
-    """Percentages of the three report kinds by sample of the file name."""
+    """Percentages of the three report kinds by sample of the file name; a conversion rate only where a line says so."""
     t = _text(spark, path, whole=True)
-    pick = lambda p: S.number(F.nullif(F.regexp_extract("value", p, 1), F.lit("")))
+    pick = lambda p: S.number(F.nullif(F.regexp_extract("value", "(?i)" + p, 1), F.lit("")))
     sample = F.regexp_replace("file_name", r"(_R?[12])?(_val_[12])?[._](bismark|trimmed|splitting|deduplication|dedup|PE|SE|conversion).*$", "")
     m = F.array(
-        F.struct(F.lit("percent_aligned").alias("metric"), pick(r"Mapping efficiency:\s*([0-9.]+)%").alias("value")),
-        F.struct(F.lit("percent_duplication").alias("metric"), pick(r"duplicated alignments removed:\s*[0-9]+\s*\(([0-9.]+)%\)").alias("value")),
-        F.struct(F.lit("percent_bs_conversion").alias("metric"), pick(r"[Cc]onversion(?: rate)?:\s*([0-9.]+)\s*%").alias("value")),
+        F.struct(F.lit("percent_aligned").alias("metric"), pick(r"mapping efficiency:[ \t]*([0-9.]+)[ \t]*%").alias("value")),
+        F.struct(F.lit("percent_duplication").alias("metric"), pick(r"duplicated alignments removed:[ \t]*[0-9,]+[ \t]*\(([0-9.]+)%\)").alias("value")),
+        F.struct(F.lit("percent_bs_conversion").alias("metric"), pick(r"conversion rate:[ \t]*([0-9.]+)[ \t]*%").alias("value")),
     )
     return t.select("run_id", sample.alias("sample"), F.explode(m).alias("m")).select("run_id", "sample", "m.*").where("value IS NOT NULL")
 
