@@ -1,4 +1,4 @@
-"""Contig names of references: consistency, aliases and the renaming that makes a GTF fit a FASTA."""
+"""Sequence names of references: consistency, aliases and the renaming that makes a GTF fit a FASTA."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def contig_consistency(fasta: DataFrame, gtf: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def sequence_consistency(fasta: DataFrame, gtf: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """ok if either side is empty or any name is shared, else mismatch, with a hint if only a chr prefix differs."""
     keys = keys or ["run_id"]
     side = lambda df, k: df.select(*keys, "name", F.lit(k).alias("side"))
@@ -27,7 +27,7 @@ def alias_table(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def harmonize_plan(fasta: DataFrame, gtf: DataFrame, aliases: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """New name and direction of each GTF contig that has none of its own in the FASTA.
+    """New name and direction of each GTF sequence that has none of its own in the FASTA.
 
     Candidates: with or without chr, and the same for all of its alias group. The name itself is kept if the
     FASTA has it, else the smallest candidate there. A run's plan is dropped unless it adds shared names and no two names

@@ -201,10 +201,10 @@ def _(v, spark):
     return readers.samplesheet(spark, at).groupBy(F.col("patient").alias("run_id")).agg(F.count("*").alias("n"), F.count("fastq_2").alias("paired"), F.count_if(F.col("fastq_1").isNull()).alias("empty_first"))
 
 
-@query("q_src_contigs", "SELECT DISTINCT run_id, name FROM gtf_names")
+@query("q_src_sequences", "SELECT DISTINCT run_id, name FROM gtf_names")
 def _(v, spark):
     g = v("gtf_names")
-    return readers.contigs(spark, write(g.select("run_id", F.monotonically_increasing_id().alias("n"), F.concat("name", F.lit("\texon\t1")).alias("value")).unionByName(g.select("run_id", F.lit(-1).cast("long").alias("n"), F.lit("# no\tcontig").alias("value")))), "gtf")
+    return readers.sequence_names(spark, write(g.select("run_id", F.monotonically_increasing_id().alias("n"), F.concat("name", F.lit("\texon\t1")).alias("value")).unionByName(g.select("run_id", F.lit(-1).cast("long").alias("n"), F.lit("# no\tsequence").alias("value")))), "gtf")
 
 
 @query("q_src_jsonl_tolerant", "SELECT run_id, count(*) AS n FROM tasks WHERE task_id % 7 <> 0 GROUP BY 1")

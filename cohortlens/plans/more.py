@@ -202,7 +202,7 @@ def _(v, spark):
 
 @query("q_src_quast", "SELECT run_id, 'b' || k AS bin, CAST(m * 1000 AS DOUBLE) AS n50 FROM suppliers")
 def _(v, spark):
-    return readers.quast(spark, tsv(v("suppliers"), ["Assembly", "# contigs", "N50"], [F.concat(F.lit("b"), "k"), F.lit(1), F.col("m") * 1000]))
+    return readers.quast(spark, tsv(v("suppliers"), ["Assembly", "Largest", "N50"], [F.concat(F.lit("b"), "k"), F.lit(1), F.col("m") * 1000]))
 
 
 @query("q_src_checkm", "SELECT run_id, 'b' || k AS bin, CAST(m AS DOUBLE) AS completeness, 1.5 AS contamination FROM suppliers")

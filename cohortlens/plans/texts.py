@@ -366,12 +366,12 @@ def _(v, spark):
     return runs.visible_runs(r, "u3", ["mag"]).select("run_id", "assay")
 
 
-@query("q_op_contig_consistency", """WITH f AS (SELECT DISTINCT run_id, name FROM fasta_names), g AS (SELECT DISTINCT run_id, name FROM gtf_names),
+@query("q_op_sequence_consistency", """WITH f AS (SELECT DISTINCT run_id, name FROM fasta_names), g AS (SELECT DISTINCT run_id, name FROM gtf_names),
 j AS (SELECT coalesce(f.run_id, g.run_id) AS run_id, f.name AS a, g.name AS b FROM f FULL JOIN g ON f.run_id = g.run_id AND f.name = g.name),
 r AS (SELECT run_id, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS shared, count(a) AS nf, count(b) AS ng, count(*) FILTER (WHERE b IS NULL AND a LIKE 'chr%') AS cf, count(*) FILTER (WHERE a IS NULL AND b LIKE 'chr%') AS cg FROM j GROUP BY 1)
 SELECT run_id, shared, CASE WHEN nf > 0 AND ng > 0 AND shared = 0 THEN 'mismatch' ELSE 'ok' END AS issue, CASE WHEN nf > 0 AND ng > 0 AND shared = 0 AND cf > 0 AND cg = 0 THEN 'add chr' WHEN nf > 0 AND ng > 0 AND shared = 0 AND cf = 0 AND cg > 0 THEN 'strip chr' END AS hint FROM r""")
 def _(v, spark):
-    return references.contig_consistency(v("fasta_names"), v("gtf_names"))
+    return references.sequence_consistency(v("fasta_names"), v("gtf_names"))
 
 
 def _plan(v, spark):

@@ -322,7 +322,7 @@ def samplesheet(spark: SparkSession, path: str) -> DataFrame:
     return t.select("run_id", F.col("path").alias("sheet_id"), *cols, F.coalesce(_get("strandedness"), F.lit("auto")).alias("strandedness"))
 
 
-def contigs(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def sequence_names(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Sequence names of FASTA headers (first token) or of GTF column 1; comments are skipped."""
     t = _text(spark, path)
     if kind == "fasta":
