@@ -45,9 +45,13 @@ def reference_upsert(reference: DataFrame, new: DataFrame, keys: list[str]) -> D
 
 
 def output_integrity(recorded: DataFrame, current: DataFrame) -> DataFrame:
-    """Missing and changed files of each run against recorded checksums."""
+    """Missing and changed files of each run against recorded checksums: counts, the first bad one, and the sorted paths of both."""
     j = recorded.select("run_id", "path", F.col("sha256").alias("was")).join(current.select("run_id", "path", F.col("sha256").alias("now")), ["run_id", "path"], "left")
-    a = j.groupBy("run_id").agg(F.count_if(F.col("now").isNull()).alias("missing"), F.count_if(F.col("now") != F.col("was")).alias("changed"), F.min(F.when(F.col("now").isNull() | (F.col("now") != F.col("was")), F.col("path"))).alias("first_bad"))
+    gone, other = F.col("now").isNull(), F.col("now") != F.col("was")
+    paths = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("path"))))
+    a = j.groupBy("run_id").agg(
+        F.count_if(gone).alias("missing"), F.count_if(other).alias("changed"), F.min(F.when(gone | other, F.col("path"))).alias("first_bad"), paths(gone).alias("missing_paths"), paths(other).alias("changed_paths")
+    )
     return a.withColumn("ok", (F.col("missing") == 0) & (F.col("changed") == 0))
 
 
@@ -59,16 +63,22 @@ def manifest(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, g, r, _glob(g)) for a, g, r in MANIFESTS], "assay string, pattern string, role string, regex string")
 
 
-def manifest_check(runs: DataFrame, artifacts: DataFrame, expected: DataFrame) -> DataFrame:
+def manifest_check(runs: DataFrame, artifacts: DataFrame, expected: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Status of each expected output: required and missing fails, optional and missing warns, an empty file fails.
 
+    counts (run_id, pattern, expected) says how many files a run should have, such as one for each sample: fewer fail, more warn.
     The manifest (a dozen rows) is broadcast; files meet only the patterns of their own run's assay.
     """
     want = runs.select("run_id", "assay").distinct().join(F.broadcast(expected), "assay")
     files = artifacts.join(want.select("run_id", "pattern", "regex"), "run_id").where(F.expr("element_at(split(path, '/'), -1) rlike regex"))
     found = files.groupBy("run_id", "pattern").agg(F.count("*").alias("n"), F.min("size").alias("least"))
     j = want.join(found, ["run_id", "pattern"], "left")
-    status = F.when(F.col("n").isNull(), F.when(F.col("role") == "required", "fail").otherwise("warn")).when(F.col("least") == 0, "fail").otherwise("pass")
+    more = F.lit(None).cast("string")
+    if counts is not None:
+        j = j.join(counts.select("run_id", "pattern", "expected"), ["run_id", "pattern"], "left")
+        n = F.coalesce("n", F.lit(0))
+        more = F.when(n < F.col("expected"), "fail").when(n > F.col("expected"), "warn")
+    status = F.when(F.col("n").isNull(), F.when(F.col("role") == "required", "fail").otherwise(F.coalesce(more, F.lit("warn")))).when(F.col("least") == 0, "fail").otherwise(F.coalesce(more, F.lit("pass")))
     return j.select("run_id", "pattern", F.coalesce("n", F.lit(0)).alias("n_files"), status.alias("status"))
 
 

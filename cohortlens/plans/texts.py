@@ -314,10 +314,11 @@ def _(v, spark):
 
 
 @query("q_op_output_integrity", """WITH j AS (SELECT a.run_id, a.path, a.sha256 AS was, n.sha256 AS now FROM (SELECT run_id, path, min(sha256) AS sha256 FROM artifacts GROUP BY 1, 2) a LEFT JOIN (SELECT run_id, path, min(sha256) AS sha256 FROM artifacts_now GROUP BY 1, 2) n USING (run_id, path))
-SELECT run_id, count(*) FILTER (WHERE now IS NULL) AS missing, count(*) FILTER (WHERE now <> was) AS changed, min(path) FILTER (WHERE now IS NULL OR now <> was) AS first_bad, count(*) FILTER (WHERE now IS NULL OR now <> was) = 0 AS ok FROM j GROUP BY 1""")
+SELECT run_id, count(*) FILTER (WHERE now IS NULL) AS missing, count(*) FILTER (WHERE now <> was) AS changed, min(path) FILTER (WHERE now IS NULL OR now <> was) AS first_bad, coalesce(string_agg(path, '|' ORDER BY path) FILTER (WHERE now IS NULL), '') AS missing_paths, coalesce(string_agg(path, '|' ORDER BY path) FILTER (WHERE now <> was), '') AS changed_paths, count(*) FILTER (WHERE now IS NULL OR now <> was) = 0 AS ok FROM j GROUP BY 1""")
 def _(v, spark):
     one = lambda n: v(n).groupBy("run_id", "path").agg(F.min("sha256").alias("sha256"))
-    return runs.output_integrity(one("artifacts"), one("artifacts_now"))
+    out = runs.output_integrity(one("artifacts"), one("artifacts_now"))
+    return out.withColumn("missing_paths", F.array_join("missing_paths", "|")).withColumn("changed_paths", F.array_join("changed_paths", "|"))
 
 
 _MAN = ", ".join(f"('{a}', '{g}', '{r}', '{runs._glob(g)}')" for a, g, r in T.MANIFESTS)
@@ -332,6 +333,19 @@ def _(v, spark):
     return runs.manifest_check(v("artifacts").select("run_id", assay.alias("assay")), v("artifacts"), runs.manifest(spark))
 
 
+@query("q_op_output_count", f"""WITH rn AS (SELECT DISTINCT run_id, CASE CAST(substr(run_id, 2) AS INT) % 4 WHEN 0 THEN 'rnaseq' WHEN 1 THEN 'variant_calling' WHEN 2 THEN 'mag' ELSE 'ampliseq' END AS assay, CAST(substr(run_id, 2) AS INT) AS k FROM artifacts), w AS (SELECT run_id, k, pattern, role, rx FROM rn JOIN (VALUES {_MAN}) AS m(assay, pattern, role, rx) USING (assay)),
+f AS (SELECT run_id, pattern, count(*) AS n, min(size) AS least FROM artifacts JOIN w USING (run_id) WHERE regexp_matches(split_part(path, '/', 3), rx) GROUP BY 1, 2)
+SELECT run_id, pattern, coalesce(n, 0) AS n_files, CASE WHEN n IS NULL AND role = 'required' THEN 'fail' WHEN least = 0 THEN 'fail' WHEN k % 3 <> 0 AND coalesce(n, 0) < k THEN 'fail' WHEN k % 3 <> 0 AND coalesce(n, 0) > k THEN 'warn' WHEN n IS NULL AND (k % 3 = 0 OR k > 0) THEN 'warn' ELSE 'pass' END AS status FROM w LEFT JOIN f USING (run_id, pattern)""")
+def _(v, spark):
+    """Two thirds of the runs say how many files each pattern should find."""
+    number = F.substring("run_id", 2, 9).cast("int")
+    k = number % 4
+    assay = F.when(k == 0, "rnaseq").when(k == 1, "variant_calling").when(k == 2, "mag").otherwise("ampliseq")
+    rn, man = v("artifacts").select("run_id", assay.alias("assay")), runs.manifest(spark)
+    counts = rn.distinct().where(number % 3 != 0).join(F.broadcast(man), "assay").select("run_id", "pattern", number.alias("expected"))
+    return runs.manifest_check(rn, v("artifacts"), man, counts)
+
+
 @query("q_op_index_present", """WITH b AS (SELECT run_id, path FROM artifacts WHERE path LIKE '%.bam'), h AS (SELECT DISTINCT run_id, regexp_replace(path, '\\.bai$', '') AS path FROM artifacts WHERE path LIKE '%.bai')
 SELECT b.run_id, b.path, CASE WHEN h.path IS NULL THEN 'fail' ELSE 'pass' END AS status FROM b LEFT JOIN h ON b.run_id = h.run_id AND b.path = h.path""")
 def _(v, spark):
