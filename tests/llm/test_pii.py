@@ -142,3 +142,15 @@ def test_without_a_sample(spark):
     assert pii.fit(df) is None and pii.fit(df.limit(0)) is None
     assert [r.spans for r in pii.find(df, None).collect()] == [[], []]
     assert pii.find(df.limit(0), None).count() == 0
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """A part of many documents is taken, all of few, and repeated rows can't make it large."""
+    monkeypatch.setattr(pii, "SAMPLE_DOCS", 50)
+    seen = []
+    monkeypatch.setattr(pii, "examples", lambda texts: seen.append(texts) or [])
+    df = spark.range(5000).selectExpr("id AS doc_id", "concat('a ', id) AS text")
+    pii.fit(df)
+    pii.fit(df.limit(40))
+    pii.fit(spark.range(5000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'n 1' AS text"))
+    assert 20 <= len(seen[0]) <= 90 and len(seen[1]) == 40 and len(seen[2]) <= 100
