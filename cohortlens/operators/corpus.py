@@ -58,8 +58,9 @@ def guard(rates: DataFrame, baselines: DataFrame, tolerance: float = 0.0) -> Dat
 
 
 def clusters(cases: DataFrame, text: str = "log_text") -> DataFrame:
-    """Cases by class and log signature: how many, and their smallest id."""
-    return cases.groupBy("failure_class", S.signature(F.col(text)).alias("signature")).agg(F.count("*").alias("n"), F.min("case_id").alias("first_case"))
+    """Cases by class and log signature: how many, and their smallest id. Cases that have a signature already need no text."""
+    signature = F.col("signature") if "signature" in cases.columns else S.signature(F.col(text))
+    return cases.groupBy("failure_class", signature.alias("signature")).agg(F.count("*").alias("n"), F.min("case_id").alias("first_case"))
 
 
 def coverage(cases: DataFrame, thin: int = 3) -> DataFrame:

@@ -28,8 +28,8 @@ def _fires(low: Column, lines: Column, groups: list[list[str]]) -> Column:
     return F.when(reduce(and_, some), F.filter(lines, test)).otherwise(F.array().cast("array<string>"))
 
 
-def diagnose(logs: DataFrame, events: DataFrame | None = None, keys: list[str] | None = None, text: str = "log_text") -> DataFrame:
-    """failure_class, confidence and evidence of each log; ordered rules, the first that fires wins.
+def diagnose(logs: DataFrame, events: DataFrame | None = None, keys: list[str] | None = None, text: str = "log_text", beside: dict[str, Column] | None = None) -> DataFrame:
+    """failure_class, confidence and evidence of each log; ordered rules, the first that fires wins. ``beside`` names more that is to be computed from a log's row.
 
     events adds, for each run, whether a task ended with 137, failed, or failed without an exit code. All
     rules are one projection over the log's row: nothing is exploded and only the event flags are shuffled.
@@ -61,7 +61,7 @@ def diagnose(logs: DataFrame, events: DataFrame | None = None, keys: list[str] |
         elif cls == "alignment_format_mismatch":
             fires = fires & F.contains(low, F.lit(".cram"))
         out = F.when(fires, found(cls, conf, hit)).otherwise(out)
-    return logs.withColumn("__d", out).select(*keys, "__d.failure_class", "__d.confidence", "__d.evidence")
+    return logs.withColumn("__d", out).select(*keys, "__d.failure_class", "__d.confidence", "__d.evidence", *[c.alias(n) for n, c in (beside or {}).items()])
 
 
 def diagnose_strict(diagnosed: DataFrame, logs: DataFrame, events: DataFrame, keys: list[str] | None = None, text: str = "log_text") -> DataFrame:
