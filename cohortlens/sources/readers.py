@@ -1,4 +1,7 @@
-"""Readers of the files of many runs at once. Run and sample come from the path; nothing is parsed one file at a time."""
+"""Readers of the files of many runs at once. Run and sample come from the path; nothing is parsed one file at a time.
+
+A path that ends in .parquet is a table of small files, see ``archives.packed``, for cohorts with more files than a file system lists and opens in good time.
+"""
 
 from __future__ import annotations
 
@@ -13,10 +16,28 @@ from . import archives
 
 def _text(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """Lines with their file, the run (first folder under ``runs``, else the parent) and an order within the file."""
+    if archives.is_pack(path):
+        return _packed_text(spark, path, whole)
     raw = spark.read.text(path, wholetext=whole, recursiveFileLookup=True)
     file = F.col("_metadata.file_path")
-    run = F.coalesce(F.nullif(F.regexp_extract(file, r"/runs/(?:run_id=)?([^/]+)/", 1), F.lit("")), F.regexp_extract(file, r"/([^/]+)/[^/]+$", 1))
-    return raw.select(run.alias("run_id"), file.alias("path"), F.col("_metadata.file_name").alias("file_name"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("id")).alias("line"), F.col("value"))
+    return raw.select(_run(file).alias("run_id"), file.alias("path"), F.col("_metadata.file_name").alias("file_name"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("id")).alias("line"), F.col("value"))
+
+
+def _run(file: Column) -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract(file, r"/runs/(?:run_id=)?([^/]+)/", 1), F.lit("")), F.regexp_extract(file, r"/([^/]+)/[^/]+$", 1))
+
+
+def _packed_text(spark: SparkSession, path: str, whole: bool) -> DataFrame:
+    """``_text`` of a table of small files: a line ends as in Spark's reader, and the last one may lack its end."""
+    files = archives.packed(spark, path).where("length > 0").select("path", F.col("content").cast("string").alias("value"))
+    if whole:
+        rows = files.select("path", F.lit(0).cast("long").alias("id"), "value")
+    else:
+        lines = F.split("value", "\r\n|[\r\n]")
+        n = F.size(lines) - (F.element_at(lines, -1) == "").cast("int")
+        rows = files.select("path", F.posexplode(F.slice(lines, F.lit(1), n)).alias("id", "value"))
+    line = F.struct(F.lit(0).cast("long").alias("file_block_start"), F.col("id").cast("long").alias("id"))
+    return rows.select(_run(F.col("path")).alias("run_id"), "path", F.element_at(F.split("path", "/"), -1).alias("file_name"), line.alias("line"), "value")
 
 
 def runs(spark: SparkSession, path: str, name: str = "run_record.json") -> DataFrame:
@@ -125,8 +146,7 @@ MATRIX_FAULTS = ["empty file", "no dimensions", "square matrix, features can't b
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     """All files under a folder, empty ones included, without their contents."""
-    run = F.coalesce(F.nullif(F.regexp_extract("path", r"/runs/(?:run_id=)?([^/]+)/", 1), F.lit("")), F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1))
-    return archives.files(spark, path).select(run.alias("run_id"), "path", F.element_at(F.split("path", "/"), -1).alias("file_name"))
+    return archives.files(spark, path).select(_run(F.col("path")).alias("run_id"), "path", F.element_at(F.split("path", "/"), -1).alias("file_name"))
 
 
 def mtx(spark: SparkSession, path: str, features: str) -> DataFrame:
@@ -291,11 +311,19 @@ def starsolo(spark: SparkSession, path: str) -> DataFrame:
     return _text(spark, path).select("run_id", "path", F.trim(c[0]).alias("metric"), S.number(F.get(c, F.lit(1))).alias("value")).where("value IS NOT NULL")
 
 
+def _csv_cells(line: Column) -> Column:
+    """The cells of a line of comma-separated values; quoted ones may hold commas and doubled quotes."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    return F.transform(raw, lambda c: F.when(F.startswith(c, F.lit('"')), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(F.nullif(c, F.lit(""))))
+
+
 def cellranger(spark: SparkSession, path: str) -> DataFrame:
     """The header row and value row of each file as metrics; thousands' commas go and percentages become fractions."""
-    df = spark.read.csv(path, header=True, recursiveFileLookup=True).withColumn("path", F.col("_metadata.file_path"))
-    names = [c for c in df.columns if c != "path"]
-    long = df.select("path", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").alias("t")) for c in names])).alias("m")).select("path", "m.*")
+    lines = F.filter(F.split("value", "\r\n|[\r\n]"), lambda x: F.trim(x) != "")
+    rows = _text(spark, path, whole=True).select("path", lines.alias("l")).where(F.size("l") > 1)
+    rows = rows.select("path", _csv_cells(F.col("l")[0]).alias("names"), F.explode(F.slice("l", F.lit(2), F.size("l") - 1)).alias("row"))
+    cells = _csv_cells(F.col("row"))
+    long = rows.select("path", F.explode(F.arrays_zip(F.col("names").alias("metric"), F.slice(cells, F.lit(1), F.size("names")).alias("t"))).alias("m")).select("path", "m.*")
     n = S.number(F.regexp_replace("t", "[,%]", ""))
     return long.select("path", "metric", F.when(F.endswith("t", F.lit("%")), n / 100).otherwise(n).alias("value"))
 
@@ -334,8 +362,7 @@ def sequence_names(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def artifacts(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """Files under a folder with size, time and checksum; contents of any size are read on the executors and stay there."""
-    run = F.coalesce(F.nullif(F.regexp_extract("path", r"/runs/(?:run_id=)?([^/]+)/", 1), F.lit("")), F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1))
-    return archives.digests(spark, path, suffix).select(run.alias("run_id"), "path", "size", "mtime", "sha256")
+    return archives.digests(spark, path, suffix).select(_run(F.col("path")).alias("run_id"), "path", "size", "mtime", "sha256")
 
 
 def logs(spark: SparkSession, path: str, errors: str | None = None, most: int = 10, tail: int = 40) -> DataFrame:

@@ -1,6 +1,10 @@
 """Steps whose cost must follow their input: what they give at sizes and shapes that small tables don't have."""
 
+from pyspark.sql import functions as F
+
 from cohortlens.operators import claims
+from cohortlens.plans import files
+from cohortlens.sources import readers
 
 
 def test_flat_results_are_read_once(spark, monkeypatch):
@@ -16,3 +20,45 @@ def test_flat_results_are_read_once(spark, monkeypatch):
         monkeypatch.setattr(claims, "MAX_TEXT", limit)
         got = {(r.run_id, r.claim_id): (r.observed, r.reason) for r in claims.observe_flat(wanted, results).collect()}
         assert got == want, {k: (got.get(k), want[k]) for k in want if got.get(k) != want[k]}
+
+
+def test_small_files_as_rows_read_as_files(spark, tmp_path):
+    """A table of small files gives what its files give, line ends and the lack of one included."""
+    texts = {
+        "a": "Total Tags   200\r\nTotal Assigned Tags  100\nGroup Total_bases\n\nCDS_Exons  900 50 1.0\rIntrons 99 20 0.1",
+        "b": "Assembly\tN50\tCompleteness\nb1\t5000\t-\n\nb2\tx\t98.5\n",
+        "c": '{"claims": [{"id": "c", "value": 1}]}\n',
+        "d": "estimated_cells,12\nMapping efficiency:\t78.9%\nbad,x\n",
+        "e": "",
+    }
+    loose = tmp_path / "runs"
+    for run_id, text in texts.items():
+        (loose / run_id).mkdir(parents=True)
+        (loose / run_id / "S1_bismark_report.txt").write_bytes(text.encode())
+    at = str(tmp_path / "files.parquet")
+    spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(loose)).write.parquet(at)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for reader in (readers.rseqc, readers.starsolo, readers.bismark, readers.claims, readers.quast, readers.checkm, readers.cellranger):
+        got, want = rows(reader(spark, at)), rows(reader(spark, str(loose)))
+        assert got == want and got, reader.__name__
+    plain = lambda source: rows(readers._text(spark, source).select("run_id", "path", "file_name", "value"))
+    assert plain(at) == plain(str(loose))
+    kept = ["run_id", "size", "sha256"]
+    assert rows(readers.artifacts(spark, at, ".txt,.md").select(kept)) == rows(readers.artifacts(spark, str(loose)).where("size > 0").select(kept))  # binaryFile leaves empty ones out
+    assert readers.artifacts(spark, at, ".md").count() == 0
+
+
+def test_metric_summaries_have_headers_of_their_own(spark, tmp_path):
+    for run_id, text in (("a", '"cells","reads, mean"\n"1,234","25%"\n'), ("b", "reads,other,last\n7,,say\r\n\r\n")):
+        (tmp_path / "runs" / run_id).mkdir(parents=True)
+        (tmp_path / "runs" / run_id / "metrics_summary.csv").write_text(text)
+    got = {(r.path.split("/")[-2], r.metric): r.value for r in readers.cellranger(spark, str(tmp_path / "runs")).collect()}
+    assert got == {("a", "cells"): 1234.0, ("a", "reads, mean"): 0.25, ("b", "reads"): 7.0, ("b", "other"): None, ("b", "last"): None}
+
+
+def test_reports_of_many_runs_take_few_files(spark, tmp_path):
+    lines = spark.range(2000).select(F.concat(F.lit("r"), "id").alias("run_id"), F.explode(F.sequence(F.lit(3), F.lit(1))).alias("n")).withColumn("value", F.concat("run_id", F.lit("-"), "n"))
+    at = files.pack(lines)
+    assert spark.read.parquet(at).inputFiles() and len(spark.read.parquet(at).inputFiles()) <= 8
+    t = readers._text(spark, at)
+    assert t.count() == 6000 and t.where("value <> concat(run_id, '-', line.id + 1)").count() == 0
