@@ -273,7 +273,7 @@ def _(v, spark):
     beats, at = v("heartbeats"), folder(spark)
     ahead = beats.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").select(F.lit("ahead").alias("run_id"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).cast(beats.schema["ts"].dataType).alias("ts"), *[F.lit(0).cast("long").alias(c) for c in streams.FIELDS])
     parts = [*arrivals(beats.select("run_id", "ts", *streams.FIELDS)), ahead]
-    live.replay(parts, at, lambda s: (live.stall_stream(s, 36000, "3 hours", expire_ms=10**12), "append"), lambda b, i: b.write.mode("overwrite").parquet(f"{at}/out/batch={i}"))
+    live.replay(parts, at, lambda s: (live.stall_stream(s, 36000, "3 hours", expire_ms=10**12, slot_ms=6 * 3_600_000), "append"), lambda b, i: b.write.mode("overwrite").parquet(f"{at}/out/batch={i}"))
     found = spark.read.schema(live.STALL).parquet(f"{at}/out").where("run_id <> 'ahead'")
     return found.select("run_id", F.col("ts").cast(beats.schema["ts"].dataType).alias("ts"), "idle_sec", "stalled")
 

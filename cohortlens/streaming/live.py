@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -90,66 +91,82 @@ def progress_stream(rows: DataFrame, delay: str = "1 hour", expire_ms: int | Non
 
 
 class Stall(StatefulProcessor):
-    """Of a run: rows that wait for the watermark, by millisecond with a timer each, and the last heartbeat that changed."""
+    """Of a run: rows that wait for the watermark, by slots of time with a timer each, and the last heartbeat that changed."""
 
-    def __init__(self, timeout_sec: float, expire_ms: int):
-        self.timeout_sec, self.expire_ms = timeout_sec, expire_ms
+    def __init__(self, timeout_sec: float, expire_ms: int, slot_ms: int):
+        self.timeout_sec, self.expire_ms, self.slot_ms = timeout_sec, expire_ms, slot_ms
 
     def init(self, handle) -> None:
         self.handle = handle
         fields = ", ".join(f"{f} long" for f in FIELDS)
-        self.waiting = handle.getMapState("waiting", "ms long", "beats array<array<bigint>>")
+        self.waiting = handle.getMapState("waiting", "slot long", "beats binary")  # rows of microseconds and fields, as 64-bit integers
         self.last = handle.getValueState("last", f"us long, {fields}, seen_ms long, ends_ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         at: dict[int, list] = {}
         for frame in rows:
-            for us, *beat in frame[["us", *FIELDS]].itertuples(index=False):
-                at.setdefault(int(us) // 1000, []).append([int(us), *map(int, beat)])
-        for ms, beats in at.items():
-            old = self.waiting.getValue((ms,))
+            beats = frame[["us", *FIELDS]]
+            if beats.isna().any(axis=None):
+                raise ValueError("a heartbeat lacks its time or one of " + ", ".join(FIELDS))
+            beats = beats.to_numpy(dtype="int64")
+            beats = beats[np.argsort(beats[:, 0], kind="stable")]
+            slots, first = np.unique(beats[:, 0] // (1000 * self.slot_ms), return_index=True)
+            for slot, part in zip(slots.tolist(), np.split(beats, first[1:]), strict=True):
+                at.setdefault(slot, []).append(part.tobytes())
+        for slot, parts in at.items():
+            old = self.waiting.getValue((slot,))
             if old is None:
-                self.handle.registerTimer(ms + 1)
-            self.waiting.updateValue((ms,), ([*(old[0] if old is not None else []), *beats],))
+                self.handle.registerTimer((slot + 1) * self.slot_ms)
+            self.waiting.updateValue((slot,), (b"".join([bytes(old[0]) if old is not None else b"", *parts]),))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         timer = expiredTimerInfo.getExpiryTimeInMs()
-        held, last = self.waiting.getValue((timer - 1,)), self.last.get()
-        ends = last[-1] if last else 0
-        if ends == timer:  # a run has one such timer at a time, set again while heartbeats come
-            if last[-2] + self.expire_ms > timer or held is not None:
-                ends = 0
-            else:
-                self.last.clear()
-                return
-        beat, out = tuple(last[:-2]) if last else (), []
-        for us, *fields in sorted(list(b) for b in held[0]) if held is not None else ():
-            if not beat or list(beat[1:]) != fields:
-                beat = (us, *fields)
-            idle = max(0.0, (us - beat[0]) / 1e6)
-            out.append((key[0], pd.Timestamp(us * 1000), idle, self.timeout_sec > 0 and idle >= self.timeout_sec))
-        seen = timer if held is not None else last[-2]
+        slot, last = timer // self.slot_ms - 1, self.last.get()
+        held = self.waiting.getValue((slot,)) if timer % self.slot_ms == 0 else None
+        if held is None:
+            if last is not None and last[-1] == timer:  # a run has one such timer at a time, set again while heartbeats come
+                self._keep(last[:-2], last[-2], 0, timer)
+            return
+        beats = np.frombuffer(bytes(held[0]), "int64").reshape(-1, 1 + len(FIELDS))
+        beats = beats[np.lexsort(beats.T[::-1])]
+        us, ms = beats[:, 0], beats[:, 0] // 1000
+        changed = np.ones(len(beats), bool)
+        changed[1:] = (beats[1:, 1:] != beats[:-1, 1:]).any(axis=1) | (np.diff(ms) > self.expire_ms)
+        if last is not None:
+            changed[0] = tuple(beats[0, 1:].tolist()) != tuple(last[1:-2]) or int(ms[0]) - last[-2] > self.expire_ms
+        of = np.maximum.accumulate(np.where(changed, np.arange(len(beats)), -1))
+        since = np.where(of >= 0, us[of], last[0] if last is not None else 0)
+        idle = np.maximum(0.0, (us - since) / 1e6)
+        ends = last[-1] if last is not None and last[-1] > timer else 0
+        self._keep((int(since[-1]), *beats[-1, 1:].tolist()), int(ms[-1]), ends, timer)
+        self.waiting.removeKey((slot,))
+        stalled = (idle >= self.timeout_sec) & (self.timeout_sec > 0)
+        yield pd.DataFrame({"run_id": key[0], "ts": pd.to_datetime(us * 1000), "idle_sec": idle, "stalled": stalled})
+
+    def _keep(self, beat: tuple, seen: int, ends: int, now: int) -> None:
+        """The last heartbeat, unless the run is quiet for so long that its next one starts anew."""
+        due = seen + self.expire_ms + 1
+        if due <= now:
+            self.last.clear()
+            return
         if not ends:
-            ends = seen + self.expire_ms
+            ends = due
             self.handle.registerTimer(ends)
         self.last.update((*beat, seen, ends))
-        if held is None:
-            return
-        self.waiting.removeKey((timer - 1,))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STALL.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def stall_stream(heartbeats: DataFrame, timeout_sec: float, delay: str = "1 hour", expire_ms: int = 86_400_000) -> DataFrame:
-    """``streams.stall_batch`` as a stream, in append mode. Files don't arrive in event order, so each row waits until the watermark has passed it,
-    and rows are judged in order of time; a run's state expires ``expire_ms`` after its last heartbeat. Rows later than ``delay`` are left out.
+def stall_stream(heartbeats: DataFrame, timeout_sec: float, delay: str = "1 hour", expire_ms: int = 86_400_000, slot_ms: int = 600_000) -> DataFrame:
+    """``streams.stall_batch`` as a stream, in append mode. Files don't arrive in event order, so each row waits until the watermark has passed its slot of ``slot_ms``,
+    and rows are judged in order of time. A timer costs some milliseconds, so there is one for each slot of a run that holds rows and none for a row. A heartbeat more than
+    ``expire_ms`` after the one before it starts anew, and a run's state goes then. Rows later than ``delay`` are left out.
     """
     use_rocksdb(heartbeats.sparkSession)
     ready = heartbeats.select("run_id", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), *[F.col(f).cast("long").alias(f) for f in FIELDS])
-    return ready.withWatermark("ts", delay).groupBy("run_id").transformWithStateInPandas(Stall(timeout_sec, expire_ms), STALL, "Append", "EventTime")
+    return ready.withWatermark("ts", delay).groupBy("run_id").transformWithStateInPandas(Stall(timeout_sec, expire_ms, slot_ms), STALL, "Append", "EventTime")
 
 
 def replay(parts: list[DataFrame], folder: str, make, keep) -> None:

@@ -1,10 +1,15 @@
 """Steps whose cost must follow their input: what they give at sizes and shapes that small tables don't have."""
 
+import random
+from types import SimpleNamespace
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cohortlens.operators import claims
 from cohortlens.plans import files
 from cohortlens.sources import readers
+from cohortlens.streaming import live, streams
 
 
 def test_flat_results_are_read_once(spark, monkeypatch):
@@ -62,3 +67,37 @@ def test_reports_of_many_runs_take_few_files(spark, tmp_path):
     assert spark.read.parquet(at).inputFiles() and len(spark.read.parquet(at).inputFiles()) <= 8
     t = readers._text(spark, at)
     assert t.count() == 6000 and t.where("value <> concat(run_id, '-', line.id + 1)").count() == 0
+
+
+class Handle:
+    """State of one run in plain variables, with the timers that were set."""
+
+    def __init__(self):
+        self.timers, self.value, self.map = [], None, {}
+
+    def getMapState(self, *_):  # noqa: N802
+        return SimpleNamespace(getValue=self.map.get, updateValue=self.map.__setitem__, removeKey=self.map.pop)
+
+    def getValueState(self, *_):  # noqa: N802
+        return SimpleNamespace(get=lambda: self.value, update=lambda v: setattr(self, "value", v), clear=lambda: setattr(self, "value", None))
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+def test_waiting_heartbeats_share_timers():
+    """20,000 heartbeats of two hours, in two batches: a timer for each slot, and the results of a walk over them in order."""
+    rnd, held = random.Random(5), Handle()
+    beats = sorted((rnd.randrange(0, 7_200_000_000), rnd.randrange(3), 1, 1) for _ in range(20_000))
+    stall = live.Stall(2.0, 10**12, 600_000)
+    stall.init(held)
+    for part in (beats[::2], beats[1::2]):
+        list(stall.handleInputRows(("a",), iter([pd.DataFrame(rnd.sample(part, len(part)), columns=["us", *streams.FIELDS])]), None))
+    assert len(held.timers) == 12
+    out = pd.concat([f for t in sorted(held.timers) for f in stall.handleExpiredTimer(("a",), None, SimpleNamespace(getExpiryTimeInMs=lambda t=t: t))])
+    want, since, old = [], 0, None
+    for us, *fields in beats:
+        since, old = (us, fields) if fields != old else (since, old)
+        want.append(((us - since) / 1e6, (us - since) / 1e6 >= 2.0))
+    assert list(zip(out["idle_sec"], out["stalled"], strict=True)) == want and any(s for _, s in want)
+    assert not held.map and held.timers[12:] == [held.value[-1]]
