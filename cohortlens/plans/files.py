@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import annotations, variants
@@ -16,8 +16,8 @@ from .core import query, sites
 from .views import VIEWS
 
 _OWN: list[str] = []
-#: Files of a run that ``spread`` writes at least into, so that no task holds a whole run.
-FILES = 16
+#: Files of a run that ``spread`` and ``_vcf`` write at least into, and rows for which there is one more, so that no task holds a whole run.
+FILES, FILE_ROWS = 16, 500_000
 
 
 def folder(spark) -> str:
@@ -32,6 +32,13 @@ def folder(spark) -> str:
     return f"{found.rstrip('/')}/files-{uuid.uuid4().hex}/runs"
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Rows written once to a new folder, for plans that take them many times; such a plan would hold, and run, all that is behind them as often."""
+    at = folder(df.sparkSession) + ".parquet"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def write(lines: DataFrame, extension: str = "txt", at: str | None = None) -> str:
     """Lines (run_id, n, value) as one text file for each run, in order of n, in a new folder or added to one."""
     at = at or folder(lines.sparkSession)
@@ -56,11 +63,16 @@ def pack(lines: DataFrame, name: str = "report.txt") -> str:
     return at
 
 
+def n_files(df: DataFrame) -> int:
+    """Files of each run, so that even a run with all rows has about FILE_ROWS in a file."""
+    return max(FILES, -(-df.count() // FILE_ROWS))
+
+
 def spread(df: DataFrame, header: list[str], columns: list, by: str, sep: str = "\t") -> str:
     """Rows as several files for each run, each with a header line; rows of one ``by`` are in one file."""
     at = folder(df.sparkSession)
     cells = [F.coalesce(c.cast("string"), F.lit("-")).alias(h) for h, c in zip(header, columns, strict=True)]
-    rows = df.select(F.col("run_id").alias("run_id"), *cells, F.pmod(F.xxhash64(by), F.lit(FILES)).alias("__file"))
+    rows = df.select(F.col("run_id").alias("run_id"), *cells, F.pmod(F.xxhash64(by), F.lit(n_files(df))).alias("__file"))
     rows.repartition("run_id", "__file").drop("__file").write.partitionBy("run_id").csv(at, header=True, sep=sep, quote="", emptyValue="")
     return at
 
@@ -73,13 +85,21 @@ def tsv(df: DataFrame, header: list[str], columns: list, sep: str = "\t", to=wri
     return to(top.unionByName(rows))
 
 
+_HEADER = ["##fileformat=VCFv4.2", "##contig=<ID=chrX,length=155270560>", '##INFO=<ID=CSQ,Number=.,Type=String,Description="Format: Allele|Consequence|SYMBOL">', "##GATKCommandLine=<ID=Mutect2,CommandLine=\"--panel-of-normals pon.vcf\">", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1"]
+
+
 def _vcf(calls: DataFrame, info=None) -> str:
-    order = F.row_number().over(Window.partitionBy("run_id").orderBy("o1", "o2", "o3"))
+    """Calls as several files for each run, each with the header; rows of one site are in one file, in their order, so no task holds a run."""
     info = F.lit(".") if info is None else info
     body = F.concat_ws("\t", "chrom", "pos", F.lit("."), "ref", "alt", F.lit("50"), "filter", info, F.lit("DP:GT"), F.concat(F.lit("9:"), "gt"))
-    rows = calls.select("run_id", order.alias("n"), body.alias("value"))
-    head = calls.select("run_id").distinct().select("run_id", F.explode(F.array(*[F.struct(F.lit(i - 9).alias("n"), F.lit(x).alias("value")) for i, x in enumerate(["##fileformat=VCFv4.2", "##contig=<ID=chrX,length=155270560>", '##INFO=<ID=CSQ,Number=.,Type=String,Description="Format: Allele|Consequence|SYMBOL">', "##GATKCommandLine=<ID=Mutect2,CommandLine=\"--panel-of-normals pon.vcf\">", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1"])])).alias("h")).select("run_id", "h.*")
-    return write(head.unionByName(rows))
+    shard = F.pmod(F.xxhash64("chrom", "pos", "ref", "alt"), F.lit(n_files(calls))).alias("shard")
+    rows = calls.select("run_id", shard, F.lit(0).alias("n"), "o1", "o2", "o3", body.alias("value"))
+    lines = F.explode(F.array(*[F.struct(F.lit(i - len(_HEADER)).alias("n"), F.lit(x).alias("value")) for i, x in enumerate(_HEADER)])).alias("h")
+    head = calls.select("run_id", shard).distinct().select("run_id", "shard", lines).select("run_id", "shard", "h.*")
+    at = folder(calls.sparkSession)
+    both = rows.unionByName(head, allowMissingColumns=True).repartition("run_id", "shard").sortWithinPartitions("run_id", "shard", "n", "o1", "o2", "o3")
+    both.select("run_id", "shard", "value").write.partitionBy("run_id", "shard").text(at)
+    return at
 
 
 @query("q_src_vcf", f"SELECT run_id, count(*) AS n_sites, count(*) FILTER (WHERE g IS NOT NULL) AS called, count(*) FILTER (WHERE g = '0/1') AS het FROM ({sites('calls_a')}) GROUP BY 1")
@@ -97,7 +117,7 @@ def _(v, spark):
 @query("q_src_vcf_header", "SELECT DISTINCT run_id, 'GRCh37' AS build, true AS has_csq, false AS has_ann, 1 AS consequence_at, 2 AS symbol_at, 1 AS n_gatk FROM calls_a")
 def _(v, spark):
     h = readers.vcf_header(spark, _vcf(v("calls_a")))
-    return h.select("run_id", "build", "has_csq", "has_ann", F.col("consequence_at").cast("int").alias("consequence_at"), F.col("symbol_at").cast("int").alias("symbol_at"), F.size("gatk").alias("n_gatk"))
+    return h.select("run_id", "build", "has_csq", "has_ann", F.col("consequence_at").cast("int").alias("consequence_at"), F.col("symbol_at").cast("int").alias("symbol_at"), F.size("gatk").alias("n_gatk")).distinct()
 
 
 @query("q_op_pon_applied", "SELECT DISTINCT run_id, 'pass' AS status FROM calls_a")
