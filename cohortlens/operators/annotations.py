@@ -2,39 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .variants import SITE
 
 
-def consequences(calls: DataFrame, keys: list[str], order: list[str], info: str = "ann", index: str = "idx") -> DataFrame:
-    """Most severe term of each site; a later duplicate without any term doesn't replace an earlier one."""
-    t = calls.withColumn("term", S.most_severe(S.variant_terms(F.col(info), F.col(index))))
-    return t.where(F.col("term").isNotNull()).groupBy(*keys, *SITE).agg(F.max_by("term", F.struct(*order)).alias("term"))
+def _sides(a: DataFrame, b: DataFrame, value: Column, keys: list[str], order: list[str], known: bool = False) -> DataFrame:
+    """x and y: the value of a site's last row on either side, or of its last row with a value. Both sides are tagged and united, so that one shuffle does."""
+    tag = lambda df, k: df.select(*keys, *SITE, F.struct(*order).alias("__o"), value.alias("__v"), F.lit(k).alias("__side"))
+    both = tag(a, 1).unionByName(tag(b, 2))
+    counts = F.col("__v").isNotNull() if known else F.lit(True)  # a filter would go below the projection and compute the value twice
+    pick = lambda k: F.max_by(F.struct("__v"), F.when((F.col("__side") == k) & counts, F.col("__o")))["__v"]
+    return both.groupBy(*keys, *SITE).agg(pick(1).alias("x"), pick(2).alias("y"))
 
 
 def consequence_concordance(a: DataFrame, b: DataFrame, keys: list[str] | None = None, order: list[str] | None = None, least: int = 10) -> DataFrame:
-    """Agreement of the most severe terms at shared sites; unverified under ``least`` shared, warn under 0.90."""
+    """Agreement of the most severe terms at shared sites; unverified under ``least`` shared, warn under 0.90.
+
+    The most severe term of a site is that of its last row with any: a later duplicate without terms doesn't replace an earlier one.
+    """
     keys, order = keys or ["run_id"], order or ["line"]
-    side = lambda df, k: consequences(df, keys, order).withColumn("side", F.lit(k))
-    site = side(a, 1).unionByName(side(b, 2)).groupBy(*keys, *SITE).agg(F.count("*").alias("n"), F.min("term").alias("lo"), F.max("term").alias("hi"))
-    run = site.groupBy(*keys).agg(F.count_if(F.col("n") == 2).alias("shared"), F.count_if((F.col("n") == 2) & (F.col("lo") == F.col("hi"))).alias("matches"))
+    term = S.most_severe(S.variant_terms(F.col("ann"), F.col("idx")))
+    site = _sides(a, b, term, keys, order, known=True).where("x IS NOT NULL OR y IS NOT NULL")
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    run = site.groupBy(*keys).agg(F.count_if(both).alias("shared"), F.count_if(F.col("x") == F.col("y")).alias("matches"))
     return _agreement(run, least, False)
 
 
-def symbols(calls: DataFrame, keys: list[str], order: list[str], info: str = "ann", index: str = "sym_idx") -> DataFrame:
-    """Gene symbol of each site, of its last row."""
-    return calls.groupBy(*keys, *SITE).agg(F.max_by(F.struct(S.symbol(F.col(info), F.col(index)).alias("s")), F.struct(*order))["s"].alias("symbol"))
-
-
 def symbol_concordance(a: DataFrame, b: DataFrame, keys: list[str] | None = None, order: list[str] | None = None, least: int = 10) -> DataFrame:
     """Agreement of gene symbols where both have one; informational."""
     keys, order = keys or ["run_id"], order or ["line"]
-    both = symbols(a, keys, order).unionByName(symbols(b, keys, order)).where(F.col("symbol").isNotNull())
-    site = both.groupBy(*keys, *SITE).agg(F.count("*").alias("n"), F.min("symbol").alias("lo"), F.max("symbol").alias("hi")).where("n = 2")
-    run = site.groupBy(*keys).agg(F.count("*").alias("shared"), F.count_if(F.col("lo") == F.col("hi")).alias("matches"))
+    site = _sides(a, b, S.symbol(F.col("ann"), F.col("sym_idx")), keys, order).where("x IS NOT NULL AND y IS NOT NULL")
+    run = site.groupBy(*keys).agg(F.count("*").alias("shared"), F.count_if(F.col("x") == F.col("y")).alias("matches"))
     return _agreement(run, least, True)
 
 

@@ -6,7 +6,8 @@ from types import SimpleNamespace
 import pandas as pd
 from pyspark.sql import functions as F
 
-from cohortlens.operators import claims
+from cohortlens.functions import scalars as S
+from cohortlens.operators import annotations, claims
 from cohortlens.plans import catalog, files
 from cohortlens.sources import readers
 from cohortlens.streaming import live, streams
@@ -119,3 +120,16 @@ def test_call_sets_lie_in_several_files_by_site(spark, monkeypatch):
 def test_matrices_are_read_before_they_are_compared(spark):
     plan = catalog.QUERIES["q_op_sc_count_concordance"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "FileScan text" not in plan and "BatchScan" not in plan
+
+
+def test_annotators_meet_in_one_shuffle(spark):
+    """Terms and symbols of both sides take one grouping of the sites, with the last row that counts on either side."""
+    rows = lambda *r: spark.createDataFrame([("r", "1", p, "A", "C", line, ann, 1, 2) for p, line, ann in r], "run_id string, chrom string, pos int, ref string, alt string, line int, ann string, idx int, sym_idx int")
+    a = rows((1, 1, "A|stop_gained&intron_variant|X"), (1, 2, ""), (2, 1, "A|intron_variant|K"), (2, 2, "A|stop_gained|"), (3, 1, ""))
+    b = rows((1, 1, "A|Stop_Gained|x"), (2, 1, "A|stop_gained|k"), (3, 1, "A|stop_gained|k"), (4, 1, "A|intron_variant|z"))
+    terms, symbols = (f(a, b).drop("agreement") for f in (annotations.consequence_concordance, annotations.symbol_concordance))
+    assert tuple(terms.first())[:3] == ("r", 2, 2) and symbols.count() == 0
+    assert annotations.consequence_concordance(a.where("ann = ''"), b.where("ann = ''")).count() == 0
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning")
+    assert plan(terms) == plan(symbols) == 2
+    assert [r.t for r in spark.createDataFrame([(["u", "stop_gained", "intron_variant"],), ([],), (None,)], "v array<string>").select(S.most_severe(F.col("v")).alias("t")).collect()] == ["stop_gained", None, None]
